@@ -144,7 +144,8 @@ def apply_quality(docs: DataFrame, text: str = "text", host: str = "source", min
     columns = docs.columns
     gone = _removals(docs, text, host, min_documents, share).drop("gone_lines").withColumnsRenamed({"host": "_host", "txt": "_txt"})
     base = with_features(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("_src")))
-    base = base.where("not base_failed").select("_row", "n_words", host_key(F.col("_src")).alias("_host"), F.xxhash64("text").alias("_txt"))
+    # The row number keeps the optimiser from evaluating the features again inside the filter.
+    base = base.withColumn("_number", F.monotonically_increasing_id()).where("not base_failed and _number >= 0").select("_row", "n_words", host_key(F.col("_src")).alias("_host"), F.xxhash64("text").alias("_txt"))
     kept = base.join(gone, ["_host", "_txt"], "left").where(_verdict(F.col("n_words"), F.coalesce(F.col("gone_words"), F.lit(0))))
     return _rewritten(kept, columns, text)
 

@@ -31,8 +31,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BLOCK = 64
-#: Documents of a source are ordered within 2**BUCKET_BITS ranges of their hash, slots within ranges of SPAN.
-BUCKET_BITS = 12
+#: Documents of a source are ordered by the MD5 of their key, within ranges of its first hexadecimal
+#: digits; slots are ranked within ranges of SPAN. Neither number changes a result.
+BUCKET_DIGITS = 3
 SPAN = 65536
 GOLDEN = 0.6180339887498949
 
@@ -95,7 +96,7 @@ def schedule(per: DataFrame) -> DataFrame:
 
 def _positions(sized: DataFrame) -> DataFrame:
     """sized with at: words of its source that stand before the row in the hashed order."""
-    hashed = sized.withColumn("h", F.xxhash64("key")).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
+    hashed = sized.withColumn("h", F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.left("h", F.lit(BUCKET_DIGITS)))
     sums = hashed.groupBy("host", "bucket").agg(F.sum("size").alias("m"))
     earlier = Window.partitionBy("host").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("host", "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))

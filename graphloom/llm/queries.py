@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece
+from . import lines, mixing, sentencepiece, syncmers
+from .sql import OP2, OP6, OP7
 from .common import table
 
 
@@ -16,12 +17,33 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents")).drop("host", "at")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.digests(table(spark, sf_dir, "documents"), model_path())
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where none is given, SQL can't express the operator; tests/llm holds it against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2, "op6_line_dedup": OP6, "op7_mixing": OP7}
