@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, sentencepiece, syncmers
+from . import lines, mixing, sentencepiece, simhash, syncmers
 from .sql import OP2, OP6, OP7
 from .common import table
 
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
 
@@ -39,6 +43,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_simhash": op3_simhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op9_sentencepiece": op9_sentencepiece,
