@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, privacy, sentencepiece, simhash, substrings, syncmers
+from . import lines, mixing, privacy, sentencepiece, simhash, substrings, syncmers, toxicity
 from .sql import OP2, OP6, OP7
 from .common import table
 
@@ -25,6 +25,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_personal_data": op5_personal_data,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
