@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, privacy, sentencepiece, simhash, substrings, syncmers, toxicity
+from . import lines, mixing, privacy, scoring, sentencepiece, simhash, substrings, syncmers, toxicity
 from .sql import OP2, OP6, OP7
 from .common import table
 
@@ -17,6 +17,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.quality_report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,

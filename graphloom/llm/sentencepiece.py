@@ -19,6 +19,7 @@ import struct
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -300,22 +301,27 @@ class PieceModel:
             return text[1:]
         return text
 
-    def digest(self, text: str | None, end: bool = True) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids as text, SHA-256 of what they decode to."""
+    def found(self, text: str | None, end: bool = True) -> tuple[str, int, str]:
+        """The ids as decimal text, their number, and the text that they decode to."""
         young = self._young
         segments = self.segments(text or "")
         shards = [young.get(s) for s in segments]
         if None in shards:
             shards = [x or self._cached(s) for x, s in zip(shards, segments)]
         ids = [s[0] for s in shards]
-        n = sum(s[1] for s in shards)
+        n = sum([s[1] for s in shards])
         if end:
-            ids.append(str(self.end))
+            ids.append(self.decimal[self.end])
             n += 1
         decoded = "".join([s[2] for s in shards]).replace(SPACE, " ")
         if shards and self.add_dummy_prefix:
             decoded = decoded[1:]  # the first piece holds the prefix that was added
-        return n, sha256_hex(" ".join(ids)), sha256_hex(decoded)
+        return " ".join(ids), n, decoded
+
+    def digest(self, text: str | None, end: bool = True) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids as text, SHA-256 of what they decode to."""
+        ids, n, decoded = self.found(text, end)
+        return n, sha256_hex(ids), sha256_hex(decoded)
 
 
 _models: dict[str, PieceModel] = {}
@@ -332,21 +338,30 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", end: bool = True, ids: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", end: bool = True, ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """docs with an array column of ids; every other column stays as it is.
 
-    A column of that name that docs already has is replaced. The model file is of fixed size and
+    With decoded, a column of that name gets the SHA-256 of the text that the ids decode to. A
+    column of either name that docs already has is replaced. The model file is of fixed size and
     is read once, on the driver.
     """
     blob = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(column: pa.Array) -> pa.Array:
         model = _load(model_path, blob.value)
-        tail = [model.end] if end else []
-        for s in batches:
-            yield pd.Series([model.encode(t) + tail for t in s], index=s.index)
-
-    return docs.withColumn(ids, F.pandas_udf(run, "array<int>")(F.col(text)))
+        parts, counts, hashes = [], [], []
+        for a in range(0, len(column), 500):
+            shown = [model.found(t, end) for t in column.slice(a, 500).to_pylist()]
+            parts.append(np.fromstring(" ".join(x for x, _, _ in shown if x), np.int32, sep=" ") if any(n for _, n, _ in shown) else np.zeros(0, np.int32))
+            counts += [n for _, n, _ in shown]
+            hashes += [sha256_hex(x) for _, _, x in shown] if decoded else [None] * len(shown)
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        return pa.StructArray.from_arrays([lists, pa.array(hashes, pa.string())], names=["ids", "decoded"])
+
+    done = docs.withColumn("_encoded", F.arrow_udf(run, "struct<ids:array<int>,decoded:string>")(F.col(f"`{text}`")))
+    done = done.withColumn(ids, F.col("_encoded.ids"))
+    return (done.withColumn(decoded, F.col("_encoded.decoded")) if decoded else done).drop("_encoded")
 
 
 def decode(docs: DataFrame, model_path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
