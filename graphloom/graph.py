@@ -189,7 +189,8 @@ class PropertyGraph:
         return PropertyGraph(nodes.drop("id").withColumnRenamed("new_id", "id"), edges)
 
     def transpose(self) -> PropertyGraph:
-        return PropertyGraph(self.nodes, self.edges.withColumnsRenamed({"src": "dst", "dst": "src"}))
+        swap = {"src": F.col("dst").alias("src"), "dst": F.col("src").alias("dst")}
+        return PropertyGraph(self.nodes, self.edges.select(*[swap.get(c, F.col(f"`{c}`")) for c in self.edges.columns]))
 
     def undirected(self, *properties: str) -> DataFrame:
         """src, dst and properties in both directions; loops and reciprocal edges count twice."""
