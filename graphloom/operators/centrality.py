@@ -8,22 +8,35 @@ from pyspark.sql import functions as F
 from graphloom.graph import PropertyGraph
 from graphloom.plans.session import cut
 
+#: PageRank rounds between two checkpoints.
+FUSED = 5
+
 
 def pagerank(g: PropertyGraph, alpha: float = 0.85, tolerance: float | None = 1e-3, max_iterations: int = 1000) -> DataFrame:
     """id and rank, not normalised: 1 - alpha plus alpha times what in-neighbours share out.
 
     Dangling mass is dropped; parallel edges count each. With tolerance None, exactly
-    max_iterations rounds are made from 1/N. A round moves one partial sum per edge's end; shares
+    max_iterations rounds are made from 1/N; else rounds go on from 1 until FUSED of them together
+    move the ranks by at most the tolerance in sum. A round moves one partial sum per edge's end; shares
     are computed once, with the edges.
     """
     out = g.edges.groupBy("src").agg(F.count("*").alias("d"))
     edges = cut(g.edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("share")))
     n = g.nodes.count()
-    state = cut(g.nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")))
     nodes = cut(g.nodes.select("id"))
-    for _ in range(max_iterations):
-        gained = edges.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
-        nxt = nodes.join(gained, "id", "left").select("id", (F.lit(1 - alpha) + alpha * F.coalesce("s", F.lit(0.0))).alias("rank"))
+    state = cut(nodes.select("id", F.lit(1.0 if tolerance is not None else 1.0 / max(n, 1)).alias("rank")))
+
+    def step(ranks: DataFrame) -> DataFrame:
+        gained = edges.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
+        return nodes.join(gained, "id", "left").select("id", (F.lit(1 - alpha) + alpha * F.coalesce("s", F.lit(0.0))).alias("rank"))
+
+    done = 0
+    while done < max_iterations:
+        rounds = min(FUSED, max_iterations - done)
+        nxt = state
+        for _ in range(rounds):
+            nxt = step(nxt)
+        done += rounds
         if tolerance is None:
             state = cut(nxt)
             continue
