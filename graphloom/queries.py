@@ -510,3 +510,30 @@ def louvain(spark, d):
 @query()
 def leiden(spark, d):
     return communities.leiden(graphs.copart(spark, d, 2))
+
+
+# ---------------------------------------------------------------- applications
+
+
+@query()
+def spanning_forest(spark, d):
+    from .operators.apps import spanning_forest as run
+
+    return run(graphs.customer_supplier(spark, d, 2))
+
+
+@query()
+def random_walks(spark, d):
+    from .operators.apps import random_walks as run
+
+    return run(graphs.copart(spark, d, 2), length=5, p=0.5, q=2.0, symmetric=False)
+
+
+@query(with_("SELECT n.id AS var, t.id AS target FROM n JOIN r ON r.b = n.id JOIN n t ON t.id = r.a", "e2").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT n.id AS var", f", n AS ({nodes_of('e2')} EXCEPT SELECT id FROM ({nodes_of('e2')}) WHERE id % 10 <> 0), m AS ({nodes_of('e2')}), r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, e2.dst FROM r JOIN e2 ON r.b = e2.src) SELECT n.id AS var", 1).replace("FROM n JOIN r ON r.b = n.id JOIN n t", "FROM m n JOIN r ON r.b = n.id JOIN n t"))
+def points_to(spark, d):
+    """Every tenth part's address is taken; values flow along co-part edges."""
+    from .operators.apps import points_to as run
+
+    g = graphs.copart(spark, d, 2)
+    addr = g.nodes.where("id % 10 = 0").select(F.lit("addr").alias("kind"), F.col("id").alias("src"), F.col("id").alias("dst"))
+    return run(addr.unionAll(g.edges.select(F.lit("copy"), "src", "dst")))
