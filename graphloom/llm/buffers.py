@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,19 +67,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(8)
-def _powers(which: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for base in (_ODD[which], pow(_ODD[which], -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(which, max(10, int(n).bit_length()))
+    """Powers of a base and of its inverse, at least n of each; the longest tables so far are kept."""
+    have = _tables.get(which)
+    if have is None or len(have[0]) < n:
+        size = max(n, SLICE + 1)
+        out = []
+        for base in (_ODD[which], pow(_ODD[which], -1, 1 << 64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        have = (out[0], out[1])
+        if size <= 2 * SLICE:  # tables for a single very long text aren't kept
+            _tables[which] = have
+    return have
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
@@ -92,6 +95,30 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: i
     return mix(h ^ (end - start).astype(np.uint64) * np.uint64(_ODD[2]))
 
 
+def window_hashes(words: np.ndarray, width: int, which: int) -> np.ndarray:
+    """A 64-bit hash of every run of width word hashes, rows not minded."""
+    n = max(0, len(words) - width + 1)
+    h, factor = np.zeros(n, np.uint64), 1
+    for k in range(width):
+        h += words[k : k + n] * np.uint64(factor)
+        factor = factor * _ODD[which] & _MASK
+    return mix(h)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte planes of them side by side, which compress well."""
+    if not len(values):
+        return b""
+    d = np.concatenate([values[:1], np.diff(values)])
+    return np.ascontiguousarray(d.view(np.uint8).reshape(len(d), -1).T).tobytes()
+
+
+def unpack_sorted(blob: bytes, kind=np.uint32) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+
+
 def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, and the number of words before each row."""
     data, bounds = raw(column)

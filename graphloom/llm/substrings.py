@@ -3,7 +3,7 @@
 Fixed-block anchors: every document is cut into non-overlapping blocks of BLOCK = 7 words, the
 largest for which any run of 13 words holds a whole block. The blocks are the index; every rolling
 window of 7 words probes it. Where a probe meets a block of another document, the hit is extended
-to the windows of 13 words around it, and only these are compared in full, by two 64-bit hashes.
+to the windows of 13 words around it, and only these are compared in full, by a 64-bit and a 32-bit hash.
 Of equal windows, those outside the document with the least doc_id are repeats; their union gives
 the maximal repeats, and the words they cover go.
 
@@ -27,18 +27,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import hashed_words, plain_words, span_hashes, windows
+from .buffers import hashed_words, pack_sorted, plain_words, unpack_sorted, window_hashes, windows
 
 WIDTH = 13
 BLOCK = 7
-BUCKET = 12 << 20
+BUCKET = 8 << 20
 PART = 24 << 20
 _LAST = np.iinfo(np.int64).max
 
 
 def _span(words: np.ndarray, first: np.ndarray, width: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, row = windows(first, width)
-    return span_hashes(words, start, start + width, which), start, row
+    return window_hashes(words, width, which)[start], start, row
+
+
+def _pack_windows(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> bytes:
+    """Windows, ascending by first hash: both hashes (the second's upper half) and an id."""
+    known, index = np.unique(ids, return_inverse=True)
+    wide = len(known) > 65536
+    head = np.array([len(h1), len(known), wide], np.int64).tobytes()
+    return head + known.tobytes() + pack_sorted(h1) + (h2 >> np.uint64(32)).astype(np.uint32).tobytes() + index.astype(np.uint32 if wide else np.uint16).tobytes()
+
+
+def _unpack_windows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, k, wide = np.frombuffer(blob, np.int64, 3)
+    at = 24 + 8 * k
+    known = np.frombuffer(blob, np.int64, k, 24)
+    h1 = unpack_sorted(blob[at : at + 8 * n], np.uint64)
+    h2 = np.frombuffer(blob, np.uint32, n, at + 8 * n)
+    return h1, h2, known[np.frombuffer(blob, np.uint32 if wide else np.uint16, n, at + 12 * n)]
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -70,7 +98,7 @@ def _probes(table: pa.Table, parts: int) -> list[tuple]:
         a, b = edges[p], edges[p + 1]
         if a < b:
             m = marked[a:b]
-            out.append((p, np.sort(low[a:b][m]).tobytes(), np.sort(low[a:b][~m]).tobytes()))
+            out.append((p, pack_sorted(np.sort(low[a:b][m])), pack_sorted(np.sort(low[a:b][~m]))))
     return out
 
 
@@ -79,7 +107,7 @@ def _shared_probes(table: pa.Table) -> list[tuple[int, bytes]]:
     values, buckets = [], table.column("bucket").to_pylist()
     for mark, name in ((1, "blocks"), (0, "others")):
         for i, blob in enumerate(table.column(name)):
-            v = np.frombuffer(blob.as_py(), np.uint32).astype(np.uint64)
+            v = unpack_sorted(blob.as_py()).astype(np.uint64)
             values.append(v << np.uint64(32) | np.uint64(i << 1 | mark))
     v = np.concatenate(values) if values else np.zeros(0, np.uint64)
     v.sort()
@@ -92,7 +120,7 @@ def _shared_probes(table: pa.Table) -> list[tuple[int, bytes]]:
     order = np.argsort(index, kind="stable")
     index, low = index[order], (hit[order] >> np.uint64(32)).astype(np.uint32)
     cut = np.searchsorted(index, np.arange(len(buckets) + 1, dtype=np.uint64))
-    return [(b, low[cut[i] : cut[i + 1]].tobytes()) for i, b in enumerate(buckets) if cut[i] < cut[i + 1]]
+    return [(b, pack_sorted(low[cut[i] : cut[i + 1]])) for i, b in enumerate(buckets) if cut[i] < cut[i + 1]]
 
 
 def _in_several_rows(h: np.ndarray, row: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -114,7 +142,7 @@ def _extended(table: pa.Table, hits: pa.Table, parts: int) -> list[tuple]:
     words, first, ids = _words(table)
     h, start, row = _span(words, first, BLOCK, 0)
     shared = _in_several_rows(h, row, (start - first[row]) % BLOCK == 0)
-    known = [np.uint64(p.as_py() << 32) | np.frombuffer(b.as_py(), np.uint32).astype(np.uint64) for p, b in zip(hits.column("part"), hits.column("hits"))]
+    known = [np.uint64(p.as_py() << 32) | unpack_sorted(b.as_py()).astype(np.uint64) for p, b in zip(hits.column("part"), hits.column("hits"))]
     if known:
         known = np.sort(np.concatenate(known))
         mine = _part(h & ~np.uint64(1), parts) << np.uint64(32) | (h & np.uint64(0xFFFFFFFE))
@@ -129,61 +157,59 @@ def _extended(table: pa.Table, hits: pa.Table, parts: int) -> list[tuple]:
     wide, wrow = windows(first, WIDTH)
     near = before[wide + WIDTH - BLOCK + 1] > before[wide]
     wide, wrow = wide[near], wrow[near]
-    h1, h2 = span_hashes(words, wide, wide + WIDTH, 1), span_hashes(words, wide, wide + WIDTH, 0)
+    h1, h2 = window_hashes(words, WIDTH, 1)[wide], window_hashes(words, WIDTH, 0)[wide] >> np.uint64(32)
     order = np.lexsort((ids[wrow], h2, h1))
     h1, h2, least = h1[order], h2[order], ids[wrow][order]
-    new = np.concatenate([np.ones(1, bool), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(h1) else np.zeros(0, bool)
-    h1, h2, least = h1[new], h2[new], least[new]
+    start = _runs(h1, h2)
+    h1, h2, least = h1[start], h2[start] << np.uint64(32), least[start]
     edges = np.searchsorted(_part(h1, parts), np.arange(parts + 1, dtype=np.uint64))
-    rows = np.stack([h1, h2, least.view(np.uint64)], axis=1)
-    return [(p, rows[edges[p] : edges[p + 1]].tobytes()) for p in range(parts) if edges[p] < edges[p + 1]]
+    return [(p, _pack_windows(h1[a:b], h2[a:b], least[a:b])) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
 
 
 def _earlier(table: pa.Table) -> list[tuple[int, bytes]]:
     """Rows (bucket, windows): a bucket's windows that stand in another bucket under a smaller id, with the least."""
     buckets = table.column("bucket").to_pylist()
-    blobs = [np.frombuffer(b.as_py(), np.uint64).reshape(-1, 3) for b in table.column("windows")]
-    every = np.concatenate(blobs) if blobs else np.zeros((0, 3), np.uint64)
-    owner = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
-    ids = every[:, 2].copy().view(np.int64)
-    order = np.lexsort((ids, every[:, 1], every[:, 0]))
-    h1, h2, ids, owner = every[order, 0], every[order, 1], ids[order], owner[order]
-    if not len(h1):
+    blobs = [_unpack_windows(b.as_py()) for b in table.column("windows")]
+    if not blobs:
         return []
-    start = np.flatnonzero(np.concatenate([np.ones(1, bool), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
+    owner = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(b[0]) for b in blobs])
+    h1, h2, ids = (np.concatenate(x) for x in zip(*blobs))
+    order = np.lexsort((ids, h2, h1))
+    h1, h2, ids, owner = h1[order], h2[order], ids[order], owner[order]
+    start = _runs(h1, h2)
     least = np.repeat(ids[start], np.diff(np.append(start, len(h1))))
     tell = np.flatnonzero(least < ids)
-    tell = tell[np.argsort(owner[tell], kind="stable")]
-    rows = np.stack([h1[tell], h2[tell], least[tell].view(np.uint64)], axis=1)
+    tell = tell[np.argsort(owner[tell], kind="stable")]  # first hashes still ascend for each owner
+    h1, h2, least = h1[tell], h2[tell].astype(np.uint64) << np.uint64(32), least[tell]
     cut = np.searchsorted(owner[tell], np.arange(len(buckets) + 1))
-    return [(b, rows[cut[i] : cut[i + 1]].tobytes()) for i, b in enumerate(buckets) if cut[i] < cut[i + 1]]
+    return [(b, _pack_windows(h1[x:y], h2[x:y], least[x:y])) for b, x, y in zip(buckets, cut[:-1], cut[1:]) if x < y]
 
 
 def _covered(table: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """For every word of a bucket whether a repeat covers it; words before each row."""
     words, first, ids = _words(table)
     wide, row = windows(first, WIDTH)
-    h1, h2 = span_hashes(words, wide, wide + WIDTH, 1), span_hashes(words, wide, wide + WIDTH, 0)
+    h1, h2 = window_hashes(words, WIDTH, 1)[wide], (window_hashes(words, WIDTH, 0)[wide] >> np.uint64(32)).astype(np.uint32)
     own = ids[row]
     least = own.copy()
     if len(h1):
         order = np.lexsort((own, h2, h1))
-        a, b = h1[order], h2[order]
-        start = np.flatnonzero(np.concatenate([np.ones(1, bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        least[order] = np.repeat(own[order][start], np.diff(np.append(start, len(a))))
-    known = [np.frombuffer(b.as_py(), np.uint64).reshape(-1, 3) for b in told.column("windows")]
+        start = _runs(h1[order], h2[order])
+        least[order] = np.repeat(own[order][start], np.diff(np.append(start, len(order))))
+    known = [_unpack_windows(b.as_py()) for b in told.column("windows")]
     if known and len(h1):
-        known = np.concatenate(known)
-        known = known[np.lexsort((known[:, 1], known[:, 0]))]
-        k1, k2, kid = known[:, 0].copy(), known[:, 1].copy(), known[:, 2].copy().view(np.int64)
+        k1, k2, kid = (np.concatenate(x) for x in zip(*known))
+        order = np.lexsort((k2, k1))
+        k1, k2, kid = k1[order], k2[order], kid[order]
         at = np.searchsorted(k1, h1)
-        for step in range(8):  # the same first hash under another second one is possible, if hardly
-            i = np.minimum(at + step, len(k1) - 1)
-            same = (k1[i] == h1) & (at + step < len(k1))
+        while True:  # more than one step only where one first hash stands with several second ones
+            i = np.minimum(at, len(k1) - 1)
+            same = (k1[i] == h1) & (at < len(k1))
             if not same.any():
                 break
             found = same & (k2[i] == h2)
             least[found] = np.minimum(least[found], kid[i[found]])
+            at = np.where(same & ~found, at + 1, len(k1))
     repeat = wide[least < own]
     change = np.zeros(len(words) + 1, np.int64)
     np.add.at(change, repeat, 1)
