@@ -251,7 +251,7 @@ def _plan(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     def of_bucket(f, names, *more):
         def run(key, table):
             out = f(table, *more)
-            cols = list(zip(*out)) if out else [[] for _ in names]
+            cols = list(zip(*out)) if out else [[] for _ in range(len(names) + 1)]
             b = key[0].as_py()
             arrays = [pa.array([b] * len(cols[0]), pa.int32()), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]]
             return pa.table(arrays, names=["bucket", "part", *names])
