@@ -90,7 +90,7 @@ def schedule(per: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("host").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("host", "span", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("host", "span").orderBy("slot")
-    ranked = slots.withColumn("r", F.row_number().over(within)).join(counts, ["host", "span"])
+    ranked = slots.withColumn("r", F.row_number().over(within)).join(counts.hint("merge"), ["host", "span"])
     return ranked.select("host", "slot", (F.col("base") + F.col("r") - 1).alias("turn"), ((F.col("base") + F.col("r") - 1) % F.col("blocks")).alias("block"))
 
 
@@ -102,7 +102,7 @@ def _positions(sized: DataFrame) -> DataFrame:
     sums = sums.select("host", "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("host", "bucket").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("r", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.join(sums, ["host", "bucket"]).select("key", "host", "source", "size", (F.col("base") + F.col("r")).alias("at"))
+    return placed.join(sums.hint("merge"), ["host", "bucket"]).select("key", "host", "source", "size", (F.col("base") + F.col("r")).alias("at"))
 
 
 def size_of(text: Column) -> Column:
@@ -121,7 +121,8 @@ def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     parts = placed.select("key", "host", "size", "at", F.explode_outer(spans).alias("block"))
     lo, hi = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
     parts = parts.withColumn("overlap", F.coalesce(hi - lo, F.lit(0)))
-    joined = parts.join(uses, ["host", "block"], "left")
+    # Sizes behind an explode are estimated far too low; the hints keep sides that grow from being broadcast.
+    joined = parts.join(uses.hint("merge"), ["host", "block"], "left")
     # Rows without words share their place with others; what they take is 0 for each.
     taken = joined.where("size > 0").groupBy("host", "at").agg(F.first("key").alias("key"), F.first("size").alias("size"), F.sum(F.col("overlap") * F.coalesce(F.col("uses"), F.lit(0))).alias("taken"))
     none = placed.where("size = 0").select("host", "at", "key", "size", F.lit(0).cast("long").alias("taken"))
