@@ -45,14 +45,23 @@ class Words:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         data = LOWER[data]
-        s, e, self.first = word_spans(data, bounds)
-        # Marks around a word are no part of it.
-        for _ in range(3):
-            inner = (e - s) > 1
-            s = s + (inner & _STRIP[data[s]]) if len(s) else s
-            inner = (e - s) > 1
-            e = e - (inner & _STRIP[data[e - 1]]) if len(e) else e
-        h = span_hashes(data, s, e, 1)
+        spans, firsts, n = [], [np.zeros(1, np.int64)], 0
+        for a, b in slices(bounds):
+            lo = bounds[a]
+            part = data[lo : bounds[b]]
+            s, e, first = word_spans(part, bounds[a : b + 1] - lo)
+            # Marks around a word are no part of it.
+            for _ in range(3):
+                inner = (e - s) > 1
+                s = s + (inner & _STRIP[part[s]]) if len(s) else s
+                inner = (e - s) > 1
+                e = e - (inner & _STRIP[part[e - 1]]) if len(e) else e
+            spans.append((s + lo, e + lo, span_hashes(part, s, e, 1)))
+            firsts.append(first[1:] + n)
+            n += len(s)
+        self.first = np.concatenate(firsts)
+        none = np.zeros(0, np.int64)
+        s, e, h = (np.concatenate(x) for x in zip(*spans)) if spans else (none, none, none.view(np.uint64))
         _, at, self.index = np.unique(h, return_index=True, return_inverse=True)
         self.word = (h[at] % np.uint64(WORD_ROWS)).astype(np.int64)
         s, e = s[at], e[at]
@@ -208,17 +217,21 @@ def _telling(words: Words, toxic: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     pos, neg = max(1, toxic.sum()), max(1, (~toxic).sum())
 
-    def odds(code: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        seen = np.unique(rows.astype(np.int64) * n + code)
-        r, c = seen // n, seen % n
-        a, b = np.bincount(c[toxic[r]], minlength=n), np.bincount(c[~toxic[r]], minlength=n)
-        return np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
+    def odds(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts[1] + 0.5) / (pos + 1)) - np.log((counts[0] + 0.5) / (neg + 1))
 
     n = len(words.word)
-    by_word = odds(words.index, row, n)
-    size = words.size[words.index]
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(words.start[words.index], size)
-    by_gram = odds(words.gram[at], np.repeat(row, size), GRAM_ROWS)
+    by_word, by_gram = np.zeros((2, n), np.int32), np.zeros((2, GRAM_ROWS), np.int32)
+    for a in range(0, len(toxic), 100):  # some documents at a time bound the space
+        lo, hi = words.first[a], words.first[min(a + 100, len(toxic))]
+        seen = np.unique(row[lo:hi] * n + words.index[lo:hi])
+        r, c = seen // n, seen % n
+        np.add.at(by_word, (toxic[r].astype(int), c), 1)
+        size = words.size[c]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(words.start[c], size)
+        seen = np.unique(np.repeat(r, size) * GRAM_ROWS + words.gram[at])
+        np.add.at(by_gram, (toxic[seen // GRAM_ROWS].astype(int), seen % GRAM_ROWS), 1)
+    by_word, by_gram = odds(by_word), odds(by_gram)
     best = np.maximum.reduceat(by_gram[words.gram], words.start) if n else by_word
     return np.maximum(np.maximum(by_word, best), 0)
 
