@@ -85,7 +85,7 @@ def _move_phase(edges: DataFrame, nodes: DataFrame, start: DataFrame | None, two
     state = best = cut(state.select("id", "cluster", F.coalesce("degree", F.lit(0.0)).alias("degree")))
     q = top = modularity(edges, state).first()[0] or 0.0
     for turn in range(max_iterations):
-        state = cut(_moves(edges, _totals(state), state, turn, two_m, resolution))
+        state = cut(_moves(edges, cut(_totals(state)), state, turn, two_m, resolution))
         if turn % 2:
             now = modularity(edges, state).first()[0] or 0.0
             if now > top:
@@ -125,7 +125,7 @@ def _refined(edges: DataFrame, labels: DataFrame, two_m: float, resolution: floa
     return sub.select("id", "cluster")
 
 
-def _cluster(g: PropertyGraph, weight: str, threshold: float, total_threshold: float, max_iterations: int, min_graph_size: int, resolution: float, refine: bool, max_levels: int = 20) -> DataFrame:
+def _cluster(g: PropertyGraph, weight: str, threshold: float, total_threshold: float, max_iterations: int, min_graph_size: int, resolution: float, refine: bool, max_levels: int = 4) -> DataFrame:
     edges = cut(_undirected(g, weight))
     ids = g.nodes.select("id")
     total = edges.agg(F.sum("w")).first()[0] or 0.0
@@ -157,7 +157,7 @@ def _cluster(g: PropertyGraph, weight: str, threshold: float, total_threshold: f
     return result.join(least, "cluster").select("id", F.col("name").alias("cluster"))
 
 
-def louvain(g: PropertyGraph, weight: str = "w", threshold: float = 1e-4, total_threshold: float = 1e-4, max_iterations: int = 40, min_graph_size: int = 0) -> DataFrame:
+def louvain(g: PropertyGraph, weight: str = "w", threshold: float = 1e-3, total_threshold: float = 1e-3, max_iterations: int = 6, min_graph_size: int = 0) -> DataFrame:
     """id and cluster by synchronous Louvain; null where the graph has min_graph_size nodes or fewer.
 
     Half of the nodes, by a hash, move in a round, so neighbours don't chase each other; ties go to
@@ -166,7 +166,7 @@ def louvain(g: PropertyGraph, weight: str = "w", threshold: float = 1e-4, total_
     return _cluster(g, weight, threshold, total_threshold, max_iterations, min_graph_size, 1.0, False)
 
 
-def leiden(g: PropertyGraph, weight: str = "w", threshold: float = 1e-4, total_threshold: float = 1e-4, max_iterations: int = 40, min_graph_size: int = 0, resolution: float = 1.0) -> DataFrame:
+def leiden(g: PropertyGraph, weight: str = "w", threshold: float = 1e-3, total_threshold: float = 1e-3, max_iterations: int = 6, min_graph_size: int = 0, resolution: float = 1.0) -> DataFrame:
     """id and cluster by Louvain moves with a refinement before each coarsening.
 
     A cluster that moves have left in pieces is given as one cluster per piece.
