@@ -168,7 +168,9 @@ def _rewritten(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 # ---------------------------------------------------------------- line dedup
 
 #: Lines in more than this share of a host's pages, and in more than RATIO_MIN_PAGES, are boilerplate.
-BOILERPLATE_RATIO = 0.3
+#: On hosts of 8,000 to 89,000 pages (check_l) license lines stand in 0.6 to 1.1 % of the pages, the
+#: most frequent lines in 11 to 13 %.
+BOILERPLATE_RATIO = 0.005
 RATIO_MIN_PAGES = 3
 
 

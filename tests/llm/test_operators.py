@@ -103,6 +103,13 @@ def test_line_rules(spark, empty):
     assert lines.line_dedup(empty).columns == empty.columns and lines.line_dedup(empty).count() == 0
 
 
+def test_lines_rare_at_a_large_host_go(spark):
+    r = random.Random(6)
+    rows = [(i, ("All rights reserved.\n" if i % 50 == 0 else "Seen twice.\n" if i in (1, 2) else "") + prose(r, 30), "en", "large", 0) for i in range(400)]
+    out = by_id(lines.line_dedup(spark.createDataFrame(rows, SCHEMA), counts=True), "n_dropped", "text")
+    assert all(out[i] == ((1, t.split("\n")[1]) if i % 50 == 0 else (0, t)) for i, t, *_ in rows)
+
+
 def simhash_by_hand(t):
     t = (t or "").translate({c: c + 32 for c in range(65, 91)})
     w = WORD.findall(t)
