@@ -79,9 +79,10 @@ def _without(text: Column, gone: Column) -> Column:
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-#: A line goes if more than so many documents of its host, and more than this share of them, have it.
+#: A line goes if more than so many documents of its host have it; at any share, as a share would
+#: raise the limit with the host. Depletion below keeps this from gutting documents.
 LIMIT_DOCUMENTS = 10
-LIMIT_SHARE = 0.3
+LIMIT_SHARE = 0.0
 #: A document is depleted if less than this share of its words, or fewer than MIN_WORDS, are left.
 MIN_LEFT = 0.5
 

@@ -110,6 +110,13 @@ def test_lines_rare_at_a_large_host_go(spark):
     assert all(out[i] == ((1, t.split("\n")[1]) if i % 50 == 0 else (0, t)) for i, t, *_ in rows)
 
 
+def test_quality_limit_does_not_grow_with_the_host(spark):
+    r = random.Random(8)
+    rows = [(i, ("All rights reserved.\n" if i % 30 == 0 else "Seen ten times.\n" if i % 40 == 1 else "") + prose(r, 30), "en", "large", 0) for i in range(400)]
+    report = by_id(lines.quality_report(spark.createDataFrame(rows, SCHEMA)), "kept", "n_removed_lines", "n_left_words")
+    assert all(report[i] == (True, int(i % 30 == 0), len(t.split()) - 3 * (i % 30 == 0)) for i, t, *_ in rows)
+
+
 def simhash_by_hand(t):
     t = (t or "").translate({c: c + 32 for c in range(65, 91)})
     w = WORD.findall(t)
