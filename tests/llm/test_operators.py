@@ -336,6 +336,15 @@ def test_scoring(spark, docs, empty):
     assert all(abs(again[d] - rows[d]["log_likelihood"]) < 0.01 for d in again)
 
 
+def test_every_position_trains(spark, monkeypatch):
+    texts = ["a b c d e f g", "x", None, " ", "a b c d e f g", "b a " * 40]
+    fitted = []
+    mean = scoring._mean
+    monkeypatch.setattr(scoring, "_mean", lambda states, shards: (fitted.append(sum(r["n"] for r in states.select("n").collect())), mean(states, shards))[1])
+    scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert fitted == [sum(len((t or "").split()) for t in texts)] * scoring.ROUNDS
+
+
 def test_network_learns_context():
     r = np.random.default_rng(1)
     tokens = np.tile(np.arange(6, dtype=np.int16), 4000)
