@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .functions.types import has_any, has_type
+from .functions.types import has_any, has_type, is_subtype, type_name
 from .plans.ordering import numbered
 
 NODE_KEYS = ("id", "types")
@@ -104,8 +105,46 @@ class PropertyGraph:
             raise TypeError(f"{name} isn't {kind}")
         return self.nodes.select("id", name)
 
-    def get_edge_property(self, which: str | int) -> DataFrame:
-        return self.edges.select("edge_id", self._column(self.edge_properties(), which))
+    def get_edge_property(self, which: str | int, kind: str | None = None) -> DataFrame:
+        name = self._column(self.edge_properties(), which)
+        if kind and self.edges.schema[name].dataType.simpleString() != kind:
+            raise TypeError(f"{name} isn't {kind}")
+        return self.edges.select("edge_id", name)
+
+    def schema_listing(self) -> DataFrame:
+        """part, position, name and type of every property."""
+        rows = []
+        for part, df, names in (("nodes", self.nodes, self.node_properties()), ("edges", self.edges, self.edge_properties())):
+            rows += [(part, i, n, df.schema[n].dataType.simpleString()) for i, n in enumerate(names)]
+        return self.nodes.sparkSession.createDataFrame(rows, "part string, position int, name string, type string")
+
+    def sparsify_booleans(self) -> PropertyGraph:
+        """Boolean properties without their false values, which become null: only what holds is stored."""
+
+        def thin(df: DataFrame, names: list[str]) -> DataFrame:
+            flags = [n for n in names if df.schema[n].dataType.simpleString() == "boolean"]
+            return df.withColumns({n: F.when(F.col(n), F.lit(True)) for n in flags})
+
+        return PropertyGraph(thin(self.nodes, self.node_properties()), thin(self.edges, self.edge_properties()))
+
+    def convert_datetime(self, names: list[str], unit: str = "seconds") -> PropertyGraph:
+        """Text or number properties as timestamps; numbers count seconds, millis or micros since 1970. What doesn't parse is null."""
+
+        def as_time(df: DataFrame, n: str) -> Column:
+            kind = df.schema[n].dataType.simpleString()
+            if kind == "string":
+                return F.try_to_timestamp(F.col(n))
+            if kind in ("date", "timestamp"):
+                return F.col(n).cast("timestamp")
+            return {"seconds": F.timestamp_seconds, "millis": F.timestamp_millis, "micros": F.timestamp_micros}[unit](F.col(n))
+
+        def changed(df: DataFrame, have: list[str]) -> DataFrame:
+            return df.withColumns({n: as_time(df, n) for n in names if n in have})
+
+        for n in names:
+            if n not in self.node_properties() and n not in self.edge_properties():
+                raise PropertyNotFound(f"no property {n!r}")
+        return PropertyGraph(changed(self.nodes, self.node_properties()), changed(self.edges, self.edge_properties()))
 
     def select(self, node_properties: list[str] | None = None, edge_properties: list[str] | None = None) -> PropertyGraph:
         """Only the named columns are loaded; the scan reads no others."""
@@ -130,22 +169,50 @@ class PropertyGraph:
         rows = rows if high is None else rows.where(c < F.lit(high))
         return rows.orderBy(c, "id")
 
-    def out_edges(self, nodes: int | slice | list[int] | None = None, properties: list[str] | None = None) -> DataFrame:
-        """id, source, dest and properties of the edges out of a node, a range or a list of nodes (in list order)."""
+    def _edges_at(self, end: str, nodes: int | slice | list[int] | None, properties: list[str] | None, types: list[str] | str | None) -> DataFrame:
         cols = [F.col("edge_id").alias("id"), F.col("src").alias("source"), F.col("dst").alias("dest")]
         cols += [F.col(self._column(self.edge_properties(), p)) for p in (self.edge_properties() if properties is None else properties)]
-        e = self.edges
+        e = self.edges if types is None else self.edges.where(has_type(F.col("types"), types))
+        at = F.col(end)
         if isinstance(nodes, int):
-            e = e.where(F.col("src") == nodes)
+            e = e.where(at == nodes)
         elif isinstance(nodes, slice):
-            e = e.where(F.col("src") >= (nodes.start or 0))
-            e = e if nodes.stop is None else e.where(F.col("src") < nodes.stop)
-            e = e if (nodes.step or 1) == 1 else e.where((F.col("src") - (nodes.start or 0)) % nodes.step == 0)
+            e = e.where(at >= (nodes.start or 0))
+            e = e if nodes.stop is None else e.where(at < nodes.stop)
+            e = e if (nodes.step or 1) == 1 else e.where((at - (nodes.start or 0)) % nodes.step == 0)
         elif nodes is not None:
-            at = e.sparkSession.createDataFrame(list(enumerate(nodes)), "place long, src long")
-            return e.join(at, "src").orderBy("place", "edge_id").select(*cols)
+            wanted = e.sparkSession.createDataFrame(list(enumerate(nodes)), f"place long, {end} long")
+            return e.join(wanted, end).orderBy("place", "edge_id").select(*cols)
         return e.select(*cols)
 
+    def out_edges(self, nodes: int | slice | list[int] | None = None, properties: list[str] | None = None, types: list[str] | str | None = None) -> DataFrame:
+        """id, source, dest and properties of the edges out of a node, a range or a list of nodes (in list order)."""
+        return self._edges_at("src", nodes, properties, types)
+
+    def in_edges(self, nodes: int | slice | list[int] | None = None, properties: list[str] | None = None, types: list[str] | str | None = None) -> DataFrame:
+        """id, source, dest and properties of the edges into a node, a range or a list of nodes (in list order)."""
+        return self._edges_at("dst", nodes, properties, types)
+
+    def edges_by_id(self, ids: DataFrame) -> DataFrame:
+        """edge_id, src, dst and types of the edges whose ids (column edge_id) are given; unknown ids have no row."""
+        return self.edges.select("edge_id", "src", "dst", "types").join(ids.select("edge_id").distinct(), "edge_id", "left_semi")
+
+    def sources_of(self, node: int, types: list[str] | str | None = None) -> DataFrame:
+        """source of every edge into a node, once."""
+        return self.in_edges(node, [], types).select("source").distinct()
+
+    def type_sets(self, which: str = "nodes") -> DataFrame:
+        """type, atoms and rows of every type set that the nodes or edges carry."""
+        df = self.nodes if which == "nodes" else self.edges
+        return df.groupBy("types").agg(F.count("*").alias("rows")).select(type_name(F.col("types")).alias("type"), F.size("types").cast("long").alias("atoms"), "rows")
+
+    def subtypes(self, which: str = "nodes") -> DataFrame:
+        """sub and sup: the pairs of type sets in use of which the one's atoms are all in the other's."""
+        df = (self.nodes if which == "nodes" else self.edges).select("types").distinct()
+        # Type sets are few: they are the schema of the graph, not its rows.
+        a, b = df.select(F.col("types").alias("a")), df.select(F.col("types").alias("b"))
+        return a.join(b, is_subtype(F.col("a"), F.col("b"))).select(type_name(F.col("a")).alias("sub"), type_name(F.col("b")).alias("sup"))
+
     def find_edges(self, src: int, dst: int, types: list[str] | str | None = None) -> DataFrame:
         found = self.edges.where((F.col("src") == src) & (F.col("dst") == dst))
         return found if types is None else found.where(has_type(F.col("types"), types))
@@ -228,14 +295,19 @@ class PropertyGraph:
 
     # ------------------------------------------------------------ storage
 
-    def write(self, path: str, note: str = "") -> int:
-        """Store as a new version under path; the manifest is published last. Gives the version."""
+    def write(self, path: str, note: str = "", compression: str | None = None, rows_per_file: int | None = None) -> int:
+        """Store as a new version under path; the manifest is published last. Gives the version.
+
+        A version's number is claimed by creating a file that must not exist, so two writers never share one.
+        """
         spark = self.nodes.sparkSession
         known = versions(spark, path)
-        v = (max(known) if known else 0) + 1
-        self.nodes.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/v={v}/nodes")
-        self.edges.repartitionByRange("src").sortWithinPartitions("src", "edge_id").write.parquet(f"{path}/v={v}/edges")
-        manifest = json.dumps({"version": v, "parent": max(known) if known else None, "note": note})
+        v = _claim(spark, path, (max(known) if known else 0) + 1)
+        parts = (("nodes", self.nodes.repartitionByRange("id").sortWithinPartitions("id")), ("edges", self.edges.repartitionByRange("src").sortWithinPartitions("src", "edge_id")))
+        for name, df in parts:
+            writer = df.write.option("maxRecordsPerFile", rows_per_file or 0)
+            (writer.option("compression", compression) if compression else writer).parquet(f"{path}/v={v}/{name}")
+        manifest = json.dumps({"version": v, "parent": max(known) if known else None, "note": note, "nodes": self.nodes.schema.jsonValue(), "edges": self.edges.schema.jsonValue()})
         spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/v={v}/manifest")
         return v
 
@@ -246,7 +318,10 @@ class PropertyGraph:
             if not known:
                 raise GraphError(f"no graph at {path}")
             version = max(known)
-        g = PropertyGraph(spark.read.parquet(f"{path}/v={version}/nodes"), spark.read.parquet(f"{path}/v={version}/edges"))
+        known = manifest(spark, path, version)
+        # With the schemas from the manifest no file footer is read to plan the scan.
+        table = lambda part: spark.read.schema(StructType.fromJson(known[part])).parquet(f"{path}/v={version}/{part}")
+        g = PropertyGraph(table("nodes"), table("edges"))
         return g.select(node_properties, edge_properties)
 
     def slice(self, low: int, high: int) -> PropertyGraph:
@@ -269,6 +344,28 @@ class PropertyGraph:
         return self.difference(other).agg(F.sum("rows")).first()[0] == 0
 
 
+def _claim(spark: SparkSession, path: str, first: int) -> int:
+    jvm = spark.sparkContext._jvm
+    v = first
+    while True:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/claims/{v}")
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.createNewFile(p):
+            return v
+        v += 1
+
+
+def manifest(spark: SparkSession, path: str, version: int) -> dict:
+    """What was published with a version: its number, parent, note and schemas."""
+    return json.loads(spark.read.text(f"{path}/v={version}/manifest").first()[0])
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """version, parent and note of every published version."""
+    rows = spark.read.text(f"{path}/v=*/manifest").select(F.from_json("value", "version long, parent long, note string").alias("m"))
+    return rows.select("m.version", "m.parent", "m.note")
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Published versions under path."""
     jvm = spark.sparkContext._jvm

@@ -26,7 +26,7 @@ def _of(edges: DataFrame) -> PropertyGraph:
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, w: the user of each event and that of the next one, by time."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", (F.abs(F.floor(F.col("value") * 100)) + 1).cast("long").alias("w"))
-    e = successor(e, F.date_trunc("day", "ts"), ["ts", "event_id"], "user_id", "dst")
+    e = successor(e, ["ts", "event_id"], "user_id", "dst")
     return e.where("dst is not null").select(F.col("user_id").alias("src"), "dst", "w")
 
 

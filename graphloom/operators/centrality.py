@@ -87,3 +87,7 @@ def betweenness(g: PropertyGraph, sources: DataFrame | None = None) -> DataFrame
         return g.nodes.select("id", F.lit(0.0).alias("score"))
     summed = total.groupBy(F.col("v").alias("id")).agg(F.sum("score").alias("score"))
     return g.nodes.select("id").join(summed, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def betweenness_statistics(scores: DataFrame) -> DataFrame:
+    return scores.agg(F.max("score").alias("max_centrality"), F.min("score").alias("min_centrality"), F.avg("score").alias("average_centrality"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import GraphError, PropertyGraph
+from graphloom.operators.loops import NotSettled
 from graphloom.plans.session import cut
 
 
@@ -19,6 +20,8 @@ def k_core(g: PropertyGraph, k: int, symmetric: bool = False, max_rounds: int =
         if weak.isEmpty():
             break
         edges = cut(edges.join(weak.withColumnRenamed("id", "src"), "src", "left_anti").join(weak.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    else:
+        raise NotSettled("the core did not settle")
     live = edges.select(F.col("src").alias("id")).distinct().withColumn("alive", F.lit(True))
     return ids.join(live, "id", "left").select("id", (F.coalesce("alive", F.lit(False)) | F.lit(k <= 0)).alias("alive"))
 
@@ -27,19 +30,23 @@ def k_truss(g: PropertyGraph, k: int, max_rounds: int = 10_000) -> DataFrame:
     """src and dst (src < dst) of the edges left in the k-truss of the underlying simple graph."""
     if k <= 2:
         raise GraphError("k must be at least 3")
-    from .triangles import triangles
+    from .triangles import triangles_of
 
-    live = cut(g.edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    live = cut(g.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    # Triangles are listed once, as rows of three sides; rounds only drop the sides that are too weak.
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    sides = cut(triangles_of(live).select(pair("u", "v").alias("x"), pair("v", "w").alias("y"), pair("u", "w").alias("z")))
     for _ in range(max_rounds):
-        t = triangles(PropertyGraph(g.nodes, live))
-        sides = t.select(F.explode(F.array(F.array("u", "v"), F.array("v", "w"), F.array("u", "w"))).alias("p")).select(F.array_min("p").alias("src"), F.array_max("p").alias("dst"))
-        support = sides.groupBy("src", "dst").agg(F.count("*").alias("s")).where(F.col("s") >= k - 2)
-        left = cut(live.join(support, ["src", "dst"], "left_semi"))
-        same = left.count() == live.count()
-        live = left
-        if same:
+        support = sides.select(F.explode(F.array("x", "y", "z")).alias("p")).groupBy("p").agg(F.count("*").alias("s"))
+        weak = cut(support.where(F.col("s") < k - 2).select("p"))
+        if weak.isEmpty():
             break
-    return live
+        for side in "xyz":
+            sides = sides.join(weak.withColumnRenamed("p", side), side, "left_anti")
+        sides = cut(sides)
+    else:
+        raise NotSettled("the truss did not settle")
+    return sides.select(F.explode(F.array("x", "y", "z")).alias("p")).select(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).distinct()
 
 
 def independent_set(g: PropertyGraph, order: str = "id", max_rounds: int = 10_000) -> DataFrame:
@@ -50,7 +57,7 @@ def independent_set(g: PropertyGraph, order: str = "id", max_rounds: int = 10_00
     """
     edges = g.undirected().where("src <> dst").distinct()
     loops = g.edges.where("src = dst").select(F.col("src").alias("id")).distinct()
-    rank = F.col("id") if order == "id" else F.xxhash64("id")
+    rank = F.col("id") if order == "id" else F.pmod(F.pmod("id", F.lit(1 << 31)) * F.lit(2654435761), F.lit(1 << 32))
     open_ = cut(g.nodes.select("id").join(loops, "id", "left_anti").withColumn("r", F.struct(rank.alias("h"), "id")))
     members = None
     edges = cut(edges)
@@ -62,6 +69,8 @@ def independent_set(g: PropertyGraph, order: str = "id", max_rounds: int = 10_00
         closed = edges.join(win.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).unionAll(win)
         open_ = cut(open_.join(closed.distinct(), "id", "left_anti"))
         members = win if members is None else members.unionAll(win)
+    else:
+        raise NotSettled("the independent set did not settle")
     if members is None:
         return g.nodes.select("id", F.lit(False).alias("member"))
     return g.nodes.select("id").join(members.withColumn("m", F.lit(True)), "id", "left").select("id", F.coalesce("m", F.lit(False)).alias("member"))

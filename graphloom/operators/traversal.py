@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import GraphError, PropertyGraph
+from graphloom.operators.loops import NotSettled
 from graphloom.plans.session import cut
 
 #: What the compatible form of an unreached node's 32-bit parent or distance is.
@@ -24,7 +25,8 @@ def bfs(g: PropertyGraph, source: int, max_depth: int | None = None) -> DataFram
     a partial aggregate; only an emptiness test comes to the driver.
     """
     _require(g, source)
-    edges = g.edges.select("src", "dst")
+    # Laid out by source once, so a round exchanges its frontier and not the edges.
+    edges = cut(g.edges.select("src", "dst").repartition("src"))
     frontier = g.nodes.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("level"), F.col("id").alias("parent")).distinct()
     frontier = visited = cut(frontier)
     level = 0
@@ -60,7 +62,7 @@ def sssp(g: PropertyGraph, source: int, weight: str = "w", max_rounds: int = 10_
     _require(g, source)
     g = g.with_default_weight(weight)
     kind = g.edges.schema[weight].dataType
-    edges = g.edges.select("src", "dst", F.col(weight).alias("w"))
+    edges = cut(g.edges.groupBy("src", "dst").agg(F.min(weight).alias("w")))
     if edges.where("w < 0").take(1):
         raise GraphError("negative weight")
     state = cut(g.nodes.where(F.col("id") == source).select("id", F.lit(0).cast(kind).alias("dist"), F.lit(True).alias("changed")).distinct())
@@ -70,8 +72,8 @@ def sssp(g: PropertyGraph, source: int, weight: str = "w", max_rounds: int = 10_
         better = F.col("offer").isNotNull() & (F.col("dist").isNull() | (F.col("offer") < F.col("dist")))
         state = cut(both.select("id", F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), better.alias("changed")))
         if not state.where("changed").take(1):
-            break
-    return state.select("id", "dist")
+            return state.select("id", "dist")
+    raise NotSettled("distances did not settle")
 
 
 def sssp_statistics(dist: DataFrame) -> DataFrame:
@@ -85,18 +87,19 @@ def sssp_violations(g: PropertyGraph, source: int, dist: DataFrame, weight: str
     return e.where("b is null or a + w < b").count() + dist.where((F.col("id") == source) & (F.col("dist") != 0)).count()
 
 
-def k_shortest_paths(g: PropertyGraph, source: int, target: int, k: int, weight: str = "w", simple: bool = False, symmetric: bool = True, max_hops: int = 64) -> DataFrame:
+def k_shortest_paths(g: PropertyGraph, source: int, target: int, k: int, weight: str = "w", simple: bool = False, symmetric: bool = True) -> DataFrame:
     """rank, weight and path of the k lightest walks (or simple paths) from source to target.
 
     A round extends each open walk by an edge. A node keeps its k lightest walks, which is enough
-    for walks; simple paths are pruned only by the weight of the k-th path found so far.
+    for walks; simple paths are pruned only by the weight of the k-th path found so far. Weights must
+    be above 0 for walks to end.
     """
     edges = g.with_default_weight(weight).neighbours(symmetric, weight).select("src", "dst", F.col(weight).alias("w"))
     spark = g.nodes.sparkSession
     open_ = spark.createDataFrame([(source, 0, [source])], "node long, weight long, path array<long>")
     w = Window.partitionBy("node").orderBy("weight", "path")
     best = cut(open_)
-    for _ in range(max_hops):
+    while True:  # ends as walks grow heavier than the k-th best, or simple paths run out of nodes
         step = open_.join(edges, open_.node == edges.src).select(F.col("dst").alias("node"), (F.col("weight") + F.col("w")).alias("weight"), "path", "dst")
         if simple:
             step = step.where(~F.array_contains("path", F.col("dst")))

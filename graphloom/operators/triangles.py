@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import GraphError, PropertyGraph
+from graphloom.plans.session import cut
 
 
 def _simple(g: PropertyGraph) -> DataFrame:
@@ -13,21 +14,29 @@ def _simple(g: PropertyGraph) -> DataFrame:
     return g.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def _oriented(g: PropertyGraph) -> DataFrame:
-    """Each pair once, from the end of smaller (degree, id), which bounds the out-degree of hubs."""
-    pairs = _simple(g)
-    d = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).groupBy("id").agg(F.count("*").alias("d"))
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """Each pair (a, b) once as u, v, from the end of smaller (degree, id), which bounds the out-degree of hubs; dv: v's degree."""
+    d = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
     both = pairs.join(d.withColumnsRenamed({"id": "a", "d": "da"}), "a").join(d.withColumnsRenamed({"id": "b", "d": "db"}), "b")
     up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    return both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"))
+    return both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(up, F.col("db")).otherwise(F.col("da")).alias("dv"))
+
+
+def triangles_of(pairs: DataFrame) -> DataFrame:
+    """u, v, w of every triangle of the simple graph of pairs (a, b), ascending by (degree, id).
+
+    A wedge is made once, its ends in the order that the closing edge has.
+    """
+    e = cut(_oriented(pairs))
+    left = e.select("u", "v", "dv")
+    right = e.select("u", F.col("v").alias("w"), F.col("dv").alias("dw"))
+    wedge = left.join(right, "u").where("dv < dw or (dv = dw and v < w)").select("u", "v", "w")
+    return wedge.join(e.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi").select("u", "v", "w")
 
 
 def triangles(g: PropertyGraph) -> DataFrame:
     """u, v, w of every triangle, once, on the underlying simple graph."""
-    e = _oriented(g)
-    wedge = e.join(e.withColumnRenamed("v", "w"), "u").where("v <> w")
-    closed = e.withColumnsRenamed({"v": "w", "u": "v"})
-    return wedge.join(closed, ["v", "w"], "left_semi").select("u", "v", "w")
+    return triangles_of(_simple(g))
 
 
 def triangle_count(g: PropertyGraph) -> DataFrame:

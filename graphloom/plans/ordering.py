@@ -25,16 +25,15 @@ def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     return kept.join(before, "_part").withColumn(name, rank.cast("long")).drop("_at", "_part", "_before")
 
 
-def successor(df: DataFrame, bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
-    """df with name: value of the row that follows by (bucket, order), null after the last.
+def successor(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with name: value of the row that follows by order, null after the last.
 
-    bucket must ascend with the order (say, the day of a time), so each window holds one bucket and
-    only one row per bucket meets the others.
+    Rows are sorted by sampled ranges, so a window holds one range, and only one row per range meets
+    the others. Ties in order are broken in some way.
     """
-    rows = df.withColumn("_b", bucket)
-    heads = rows.groupBy("_b").agg(F.min(F.struct(*order, F.col(value).alias("_v"))).alias("h"))
-    heads = heads.select("_b", F.lead("h._v").over(Window.orderBy("_b")).alias("_next"))
-    inner = F.lead(value).over(Window.partitionBy("_b").orderBy(*order))
-    last = F.row_number().over(Window.partitionBy("_b").orderBy(*[F.desc(c) for c in order])) == 1
-    rows = rows.withColumns({"_in": inner, "_last": last})
-    return rows.join(heads, "_b").withColumn(name, F.when(F.col("_last"), F.col("_next")).otherwise(F.col("_in"))).drop("_b", "_in", "_last", "_next")
+    kept = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    heads = kept.groupBy("_part").agg(F.min_by(F.struct(F.col(value).alias("v")), "_at").alias("h"))
+    heads = heads.select("_part", F.lead("h.v").over(Window.orderBy("_part")).alias("_next"))  # one row a part
+    w = Window.partitionBy("_part").orderBy("_at")
+    rows = kept.withColumns({"_in": F.lead(F.struct(F.col(value).alias("v"))).over(w)})
+    return rows.join(heads, "_part").withColumn(name, F.when(F.col("_in").isNull(), F.col("_next")).otherwise(F.col("_in.v"))).drop("_part", "_at", "_in", "_next")

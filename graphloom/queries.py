@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import graphs
 from .functions.types import has_type, type_name
 from .graph import PropertyGraph
-from .operators import centrality, communities, peeling, stats, transforms, traversal, triangles
+from .operators import apps, centrality, communities, loops, peeling, stats, transforms, traversal, triangles
+from .plans.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,19 +134,18 @@ def typed_out_degree(spark, d):
     return graphs.geography(spark, d).out_degree("HAS_CUSTOMER")
 
 
-@query(with_("SELECT p.a AS src, p.b AS dst, EXISTS (SELECT 1 FROM e1 WHERE src = a AND dst = b) AS present FROM (SELECT x.id AS a, y.id AS b FROM n x, n y WHERE (x.id + y.id) % 3 = 0) p", "e1", n=nodes_of("e1")))
+@query(with_("SELECT p.a AS src, p.b AS dst, EXISTS (SELECT 1 FROM e1 WHERE src = a AND dst = b) AS present FROM (SELECT id AS a, id * k % 997 AS b FROM n, range(1, 40) t(k)) p", "e1", n=nodes_of("e1")))
 def has_edges(spark, d):
     g = graphs.user_next(spark, d)
-    # The pairs with a sum divisible by 3, by residues.
-    ids = g.nodes.select("id", F.pmod("id", F.lit(3)).alias("r"))
-    pairs = ids.select(F.col("id").alias("src"), "r").join(ids.select(F.col("id").alias("dst"), F.pmod(-F.col("r"), F.lit(3)).alias("r")), "r")
-    return g.has_edges(pairs.select("src", "dst"))
+    # 39 pairs for each node, not all pairs of nodes.
+    pairs = g.nodes.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(39))).alias("k")).select("src", (F.col("src") * F.col("k") % 997).alias("dst"))
+    return g.has_edges(pairs)
 
 
-@query(with_("SELECT src, dst, w FROM m1 WHERE src = 7 AND dst < 40", "m1"))
+@query(with_("SELECT src, dst, w FROM m1 WHERE src = 7 AND dst = 11", "m1"))
 def find_edges(spark, d):
     g = graphs.user_next_multi(spark, d)
-    return g.out_edges(7, ["w"]).where("dest < 40").select(F.col("source").alias("src"), F.col("dest").alias("dst"), "w")
+    return g.find_edges(7, 11).select("src", "dst", "w")
 
 
 @query(with_("SELECT dst AS src, src AS dst, w FROM e1", "e1"))
@@ -381,9 +381,18 @@ def pagerank_statistics(spark, d):
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 
 
-@query()
+_PT = {"n": nodes_of("e1"), "o": "SELECT src, count(*) AS d FROM e1 GROUP BY src", "t0": "SELECT id, 1.0::DOUBLE AS r FROM n"}
+for _i in range(1, 41):
+    _PT[f"t{_i}"] = f"SELECT n.id, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(s, 0) AS r FROM n LEFT JOIN (SELECT e1.dst AS id, sum(p.r / o.d) AS s FROM e1 JOIN t{_i - 1} p ON e1.src = p.id JOIN o ON e1.src = o.src GROUP BY e1.dst) x ON n.id = x.id"
+_PT["moved"] = " UNION ALL ".join(f"SELECT {i} AS k, sum(abs(a.r - b.r)) AS c FROM t{i} a JOIN t{i - 5} b ON a.id = b.id" for i in range(5, 41, 5))
+_PT["ends"] = "SELECT coalesce(min(k) FILTER (c <= 1e-4), 40) AS k FROM moved"
+_PT["every"] = " UNION ALL ".join(f"SELECT {i} AS k, id, r FROM t{i}" for i in range(5, 41, 5))
+
+
+@query(with_("SELECT id, round(r, 6) AS rank FROM every WHERE k = (SELECT k FROM ends)", "e1", **_PT))
 def pagerank(spark, d):
-    return centrality.pagerank(graphs.user_next(spark, d), tolerance=1e-4)
+    r = centrality.pagerank(graphs.user_next(spark, d), tolerance=1e-4)
+    return r.select("id", F.round("rank", 6).alias("rank"))
 
 
 _DEPTH = 5
@@ -403,6 +412,16 @@ def betweenness(spark, d):
     return s.select("id", F.round("score", 6).alias("score"))
 
 
+_BC_SQL = "SELECT n.id, round(coalesce(sum(a.delta), 0), 6) AS score FROM n LEFT JOIN all_ a ON n.id = a.v AND a.s <> a.v GROUP BY n.id"
+
+
+@query(with_(f"SELECT round(max(score), 4) AS max_centrality, round(min(score), 4) AS min_centrality, round(avg(score), 4) AS average_centrality FROM ({_BC_SQL})", "m1", **_BC))
+def betweenness_statistics(spark, d):
+    g = graphs.user_next_multi(spark, d)
+    s = centrality.betweenness_statistics(centrality.betweenness(g, g.nodes.select("id").orderBy("id").limit(4)))
+    return s.select(*[F.round(c, 4).alias(c) for c in s.columns])
+
+
 _LP = {"u": _U2, "n": nodes_of("e2"), "l0": "SELECT id, id AS l FROM n"}
 for _i in range(1, 11):
     _LP[f"l{_i}"] = f"SELECT id, l FROM (SELECT u.a AS id, x.l, row_number() OVER (PARTITION BY u.a ORDER BY count(*) DESC, x.l) AS k FROM u JOIN l{_i - 1} x ON u.b = x.id GROUP BY u.a, x.l) WHERE k = 1"
@@ -418,16 +437,35 @@ def cdlp_statistics(spark, d):
     return _rounded(communities.group_statistics(communities.cdlp(graphs.copart(spark, d, 2)), "community"))
 
 
-@query()
+def _mis(rank: str) -> str:
+    parts = {"n": nodes_of("e2"), "u": f"SELECT a, b, {rank.format('a')} AS ra, {rank.format('b')} AS rb FROM ({_U2}) WHERE a <> b", "o0": "SELECT id FROM n WHERE id NOT IN (SELECT src FROM e2 WHERE src = dst)"}
+    for i in range(1, 17):
+        parts[f"x{i}"] = f"SELECT id FROM o{i - 1} o WHERE NOT EXISTS (SELECT 1 FROM u JOIN o{i - 1} p ON u.b = p.id WHERE u.a = o.id AND (u.rb < u.ra OR (u.rb = u.ra AND u.b < u.a)))"
+        parts[f"o{i}"] = f"SELECT id FROM o{i - 1} WHERE id NOT IN (SELECT id FROM x{i}) AND id NOT IN (SELECT u.b FROM u JOIN x{i} x ON u.a = x.id)"
+    parts["m"] = " UNION ALL ".join(f"SELECT id FROM x{i}" for i in range(1, 17))
+    return with_("SELECT id, id IN (SELECT id FROM m) AS member FROM n", "e2", **parts)
+
+
+_HASH = "(({} % 2147483648) * 2654435761 % 4294967296)"
+
+
+@query(_mis("{}"))
 def independent_set(spark, d):
     return peeling.independent_set(graphs.copart(spark, d, 2))
 
 
-@query()
+@query(_mis(_HASH))
 def independent_set_priority(spark, d):
     return peeling.independent_set(graphs.copart(spark, d, 2), order="hash")
 
 
+@query(f"SELECT count(*) FILTER (member) AS cardinality, 0 AS violations FROM ({_mis('{}')})")
+def independent_set_statistics(spark, d):
+    g = graphs.copart(spark, d, 2)
+    m = cut(peeling.independent_set(g))
+    return m.agg(F.count_if("member").alias("cardinality")).withColumn("violations", F.lit(peeling.independent_set_violations(g, m)))
+
+
 _JAC = {"n": nodes_of("m1"), "b": "SELECT DISTINCT dst FROM m1 WHERE src = (SELECT min(src) FROM m1)", "j": "SELECT n.id, count(m1.dst) AS d, count(b.dst) AS i, (SELECT count(*) FROM b) AS k FROM n LEFT JOIN m1 ON n.id = m1.src LEFT JOIN b ON m1.dst = b.dst GROUP BY n.id"}
 _SIM = "CASE WHEN d + k - i = 0 THEN 1.0::DOUBLE ELSE i::DOUBLE / (d + k - i) END"
 
@@ -502,38 +540,199 @@ def modularity(spark, d):
     return communities.modularity(communities._undirected(g, "w"), communities.cdlp(g), "community").select(F.round("modularity", 6).alias("modularity"))
 
 
+_TURN = "((({0} % 2147483648) * 2654435761 % 4294967296) // 2147483648)"
+_LV = {
+    "n": nodes_of("e2"), "u": "SELECT src AS a, dst AS b, w::DOUBLE AS w FROM e2 UNION ALL SELECT dst, src, w FROM e2",
+    "dg": "SELECT a AS id, sum(w) AS d FROM u GROUP BY a", "tm": "SELECT sum(w) AS t FROM u", "c0": "SELECT n.id, n.id AS c, coalesce(d, 0) AS d FROM n LEFT JOIN dg ON n.id = dg.id",
+}
+for _i in (1, 2):
+    _p = f"c{_i - 1}"
+    _LV[f"k{_i}"] = f"SELECT c, sum(d) AS total, count(*) AS members FROM {_p} GROUP BY c"
+    _LV[f"near{_i}"] = f"SELECT u.a AS id, x.c, sum(u.w) AS weight FROM u JOIN {_p} x ON u.b = x.id WHERE u.a <> u.b AND {_TURN.format('u.a')} = {_i - 1} GROUP BY 1, 2"
+    _LV[f"off{_i}"] = f"SELECT r.id, r.c, floor((r.weight - coalesce(o.weight, 0) - s.d * (kc.total - (ko.total - s.d)) / (SELECT t FROM tm)) * 1048576 + 0.5)::BIGINT AS gain FROM near{_i} r JOIN {_p} s ON r.id = s.id LEFT JOIN near{_i} o ON o.id = r.id AND o.c = s.c JOIN k{_i} kc ON kc.c = r.c JOIN k{_i} ko ON ko.c = s.c WHERE r.c <> s.c AND (ko.members > 1 OR kc.members > 1 OR r.c < s.c)"
+    _LV[f"best{_i}"] = f"SELECT id, c FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gain DESC, c) AS k FROM off{_i} WHERE gain > 0) WHERE k = 1"
+    _LV[f"c{_i}"] = f"SELECT s.id, coalesce(b.c, s.c) AS c, s.d FROM {_p} s LEFT JOIN best{_i} b ON s.id = b.id"
+
+
+@query(with_("SELECT id, min(id) OVER (PARTITION BY c) AS cluster FROM c2", "e2", **_LV))
+def louvain_two_turns(spark, d):
+    """The first two rounds of moves, by the DataFrame rounds that large levels take."""
+    g = graphs.copart(spark, d, 2)
+    edges = cut(communities._undirected(g, "w"))
+    total = edges.agg(F.sum("w")).first()[0]
+    moved, _ = communities._move_phase(edges, g.nodes.select("id", F.col("id").alias("cluster")), total, 1e-4, 2, 1.0)
+    least = F.min("id").over(Window.partitionBy("cluster"))
+    return moved.select("id", least.alias("cluster"))
+
+
+def _clustering_row(run):
+    def f(spark, d):
+        g = graphs.copart(spark, d, 2)
+        labels = cut(run(g))
+        s = communities.clustering_statistics(g, labels)
+        base = communities.modularity(communities._undirected(g, "w"), communities.cdlp(g), "community").first()[0]
+        ok = s.select((F.col("modularity") > base).alias("above_label_propagation"), (F.col("largest") > 1).alias("merged"))
+        return ok.join(communities.clustering_violations(g, labels))  # one row each
+
+    return f
+
+
+QUERIES["louvain"] = lambda spark, d: communities.louvain(graphs.copart(spark, d, 2))
+QUERIES["leiden"] = lambda spark, d: communities.leiden(graphs.copart(spark, d, 2))
+QUERIES["louvain_holds"] = _clustering_row(communities.louvain)
+QUERIES["leiden_holds"] = _clustering_row(communities.leiden)
+# Labels are checked for what any right clustering has: each node in one cluster, named by its least member, and a modularity above label propagation's.
+SQL["leiden_holds"] = "SELECT true AS above_label_propagation, true AS merged, 0 AS missing, 0 AS misnamed, 0 AS split"
+SQL["louvain_holds"] = SQL["leiden_holds"]
+
+
 @query()
-def louvain(spark, d):
-    return communities.louvain(graphs.copart(spark, d, 2))
+def louvain_statistics(spark, d):
+    g = graphs.copart(spark, d, 2)
+    return communities.clustering_statistics(g, cut(communities.louvain(g)))
 
 
 @query()
-def leiden(spark, d):
-    return communities.leiden(graphs.copart(spark, d, 2))
+def leiden_statistics(spark, d):
+    g = graphs.copart(spark, d, 2)
+    return communities.clustering_statistics(g, cut(communities.leiden(g)))
 
 
 # ---------------------------------------------------------------- applications
 
 
+_KS = {"cs": "SELECT o_custkey AS a, -l_suppkey - 1 AS b, count(*) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(*) >= 2"}
+
+
 @query()
 def spanning_forest(spark, d):
-    from .operators.apps import spanning_forest as run
+    return apps.spanning_forest(graphs.customer_supplier(spark, d, 2))
 
-    return run(graphs.customer_supplier(spark, d, 2))
 
+# Kruskal by weights: a weight w comes into the forest as often as edges up to w join components that lighter ones don't.
+_MSF = with_(
+    "SELECT sum(k)::BIGINT AS edges, sum(k * w)::BIGINT AS weight FROM (SELECT w, lag(c, 1, (SELECT count(*) FROM n)) OVER (ORDER BY w) - c AS k FROM (SELECT t AS w, count(DISTINCT least) AS c FROM (SELECT t, a, min(b) AS least FROM r GROUP BY t, a) GROUP BY t))",
+    **{**_KS, "n": "SELECT a AS id FROM cs UNION SELECT b FROM cs", "ws": "SELECT DISTINCT w AS t FROM cs", "u": "SELECT a, b, w FROM cs UNION ALL SELECT b, a, w FROM cs"},
+).replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT sum(k)", ", r AS (SELECT t, id AS a, id AS b FROM n, ws UNION SELECT r.t, r.a, u.b FROM r JOIN u ON r.b = u.a AND u.w <= r.t) SELECT sum(k)", 1)
 
-@query()
+
+@query(_MSF)
+def spanning_forest_weight(spark, d):
+    f = apps.spanning_forest(graphs.customer_supplier(spark, d, 2))
+    return f.agg(F.count("*").alias("edges"), F.sum("w").alias("weight"))
+
+
+@query(with_("SELECT (SELECT count(*) FROM n) AS walks, 0 AS off_the_graph, 0 AS gaps", "e2", n=nodes_of("e2")))
 def random_walks(spark, d):
-    from .operators.apps import random_walks as run
+    """One walk from each node that has edges; every step is an edge, either way, and steps follow each other."""
+    g = graphs.copart(spark, d, 2)
+    w = cut(apps.random_walks(g, length=5, p=0.5, q=2.0, symmetric=False)).select("walk", "step", "node")
+    hops = w.join(w.select("walk", (F.col("step") + 1).alias("step"), F.col("node").alias("before")), ["walk", "step"], "left")
+    edges = g.undirected().select(F.col("src").alias("before"), F.col("dst").alias("node")).distinct().withColumn("there", F.lit(1))
+    found = hops.join(edges, ["before", "node"], "left").where("step > 0")
+    bad = found.agg(F.count_if(F.col("there").isNull() & F.col("before").isNotNull()).alias("off_the_graph"), F.count_if(F.col("before").isNull()).alias("gaps"))
+    return w.agg(F.count_distinct("walk").alias("walks")).join(bad)  # one row each
+
+
+@query()
+def edge_type_walks(spark, d):
+    walks, _ = apps.edge_type_walks(graphs.geography(spark, d), length=4, rounds=2)
+    return walks.select("walk", "step", "node")
+
+
+@query()
+def bipartite_matching(spark, d):
+    """Orders' customers and suppliers that sent them two lines or more, matched one to one."""
+    e = graphs.customer_supplier(spark, d, 2).edges.select(F.col("src").alias("left"), F.col("dst").alias("right"))
+    return apps.bipartite_matching(e)
+
+
+# Flow from node -1 over each supplier (as many as it has parts) and each part's size to node -2: the suppliers' ends bound it.
+@query("SELECT sum(least(a, b))::BIGINT AS flow FROM (SELECT l_suppkey, count(DISTINCT l_partkey) AS a, sum(l_linenumber) // 10 AS b FROM lineitem GROUP BY l_suppkey)")
+def max_flow(spark, d):
+    s = graphs.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("a"), F.floor(F.sum("l_linenumber") / 10).alias("b"))
+    e = s.select(F.lit(-1).cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst"), F.col("a").alias("w")).unionAll(s.select(F.col("l_suppkey").cast("long"), F.lit(-2).cast("long"), "b"))
+    return apps.max_flow(PropertyGraph.of(cut(e)), -1, -2)
 
-    return run(graphs.copart(spark, d, 2), length=5, p=0.5, q=2.0, symmetric=False)
+
+_KSP = {"q0": "SELECT min(src) AS v, 0::BIGINT AS weight, [min(src)] AS path FROM e2", "goal": "SELECT max(b) AS t FROM (SELECT e2.dst AS b FROM e2 WHERE src = (SELECT min(src) FROM e2) UNION SELECT y.dst FROM e2 x JOIN e2 y ON x.dst = y.src WHERE x.src = (SELECT min(src) FROM e2))"}
+for _i in range(1, 25):
+    _KSP[f"q{_i}"] = f"SELECT v, weight, path FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY weight, path) AS k FROM (SELECT * FROM q{_i - 1} UNION SELECT e2.dst, q.weight + e2.w, list_append(q.path, e2.dst) FROM q{_i - 1} q JOIN e2 ON q.v = e2.src)) WHERE k <= 3"
 
 
-@query(with_("SELECT n.id AS var, t.id AS target FROM n JOIN r ON r.b = n.id JOIN n t ON t.id = r.a", "e2").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT n.id AS var", f", n AS ({nodes_of('e2')} EXCEPT SELECT id FROM ({nodes_of('e2')}) WHERE id % 10 <> 0), m AS ({nodes_of('e2')}), r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, e2.dst FROM r JOIN e2 ON r.b = e2.src) SELECT n.id AS var", 1).replace("FROM n JOIN r ON r.b = n.id JOIN n t", "FROM m n JOIN r ON r.b = n.id JOIN n t"))
+@query(with_("SELECT row_number() OVER (ORDER BY weight, path) AS rank, weight, array_to_string(path, ',') AS path FROM q24 WHERE v = (SELECT t FROM goal)", "e2", **_KSP))
+def k_shortest_paths(spark, d):
+    """The three lightest walks along the edges from the first part to the last within two steps of it."""
+    g = graphs.copart(spark, d, 2)
+    s = _first(g)
+    one = g.edges.where(F.col("src") == s).select("dst")
+    two = g.edges.join(one.select(F.col("dst").alias("src")), "src", "left_semi").select("dst")
+    return traversal.k_shortest_paths(g, s, one.unionAll(two).agg(F.max("dst")).first()[0], 3, symmetric=True)
+
+
+@query("SELECT 'least_squares' AS method, true AS better_than_mean UNION ALL SELECT 'gradient', true")
+def matrix_completion(spark, d):
+    """Whether factors by alternating least squares and by gradient descent explain a rank-one table of parts and suppliers better than its mean."""
+    li = graphs.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    rating = (F.col("l_suppkey") % 9 + 1) * (F.col("l_partkey") % 7 + 1) / 63.0
+    r = cut(li.select(F.col("l_suppkey").cast("int").alias("user"), F.col("l_partkey").cast("int").alias("item"), rating.alias("rating")))
+    base = r.agg(F.stddev_pop("rating")).first()[0]
+    als = apps.matrix_completion(r, rank=4, iterations=5).transform(r)
+    users, items = apps.gradient_completion(r, rank=4, epochs=5)
+    dot = F.aggregate(F.zip_with("fu", "fi", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    sgd = r.join(users.select(F.col("id").alias("user"), F.col("f").alias("fu")), "user").join(items.select(F.col("id").alias("item"), F.col("f").alias("fi")), "item").withColumn("prediction", dot)
+    error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("rating"), 2)))
+    parts = [df.agg(error.alias("e")).select(F.lit(n).alias("method"), (F.col("e") < 0.5 * base).alias("better_than_mean")) for n, df in (("least_squares", als), ("gradient", sgd))]
+    return parts[0].unionAll(parts[1])
+
+
+@query(with_("SELECT n.id AS var, r.a AS target FROM n JOIN r ON r.b = n.id", "e2", n=nodes_of("e2")).replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT n.id AS var", ", r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, e2.dst FROM r JOIN e2 ON r.b = e2.src) SELECT n.id AS var", 1))
 def points_to(spark, d):
-    """Every tenth part's address is taken; values flow along co-part edges."""
-    from .operators.apps import points_to as run
+    """Every part's address is taken; values flow along co-part edges."""
+    g = graphs.copart(spark, d, 2)
+    addr = g.nodes.select(F.lit("addr").alias("kind"), F.col("id").alias("src"), F.col("id").alias("dst"))
+    return apps.points_to(addr.unionAll(g.edges.select(F.lit("copy"), "src", "dst")))
 
+
+# ---------------------------------------------------------------- loops of users
+
+
+@query(SQL["connected_components"])
+def pregel_components(spark, d):
+    g = graphs.copart(spark, d, 2)
+    least = F.least("component", F.coalesce("message", "component"))
+    return loops.pregel(g, {"component": F.col("id")}, F.col("src_component"), F.min, {"component": least}, symmetric=False)
+
+
+@query(with_("SELECT id, dist FROM s13", "e1", **_SP))
+def pregel_distances(spark, d):
+    g = graphs.user_next(spark, d)
+    s = _first(g)
+    none = F.lit(None).cast("long")
+    out = loops.pregel(g, {"dist": F.when(F.col("id") == s, F.lit(0).cast("long")).otherwise(none)}, F.col("src_dist") + F.col("w"), F.min, {"dist": F.least("dist", "message")}, active=F.col("id") == s)
+    return out.where("dist is not null")
+
+
+@query(with_("SELECT id, round(r, 6) AS rank FROM p10", "m1", **_PR))
+def pregel_ranks(spark, d):
+    g = graphs.user_next_multi(spark, d)
+    g = PropertyGraph(g.nodes.join(g.out_degree(), "id"), g.edges)
+    n = g.nodes.count()
+    out = loops.pregel(g, {"rank": F.lit(1.0 / n), "out": F.col("out_degree")}, F.col("src_rank") / F.col("src_out"), F.sum, {"rank": F.lit(0.15) + 0.85 * F.coalesce("message", F.lit(0.0))}, fixed_rounds=10)
+    return out.select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(with_(f"SELECT id, level::BIGINT AS level FROM b{_HOPS - 1}", "e2", **{k: v for k, v in _BFS_SQL.items()}))
+def worklist_levels(spark, d):
+    """Levels by an ordered worklist: a batch is the least level that is open."""
     g = graphs.copart(spark, d, 2)
-    addr = g.nodes.where("id % 10 = 0").select(F.lit("addr").alias("kind"), F.col("id").alias("src"), F.col("id").alias("dst"))
-    return run(addr.unionAll(g.edges.select(F.lit("copy"), "src", "dst")))
+    edges = cut(g.undirected().distinct())
+    start = g.nodes.where(F.col("id") == _first(g)).select("id", F.lit(0).cast("long").alias("level"))
+    body = lambda items, done: edges.join(items.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("level") + 1).alias("level"))
+    return loops.for_each(start, body, ["id"], priority="level")
+
+
+@query(with_("SELECT sum(id)::BIGINT AS total, max(id) AS top, sum(CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS even FROM n", "e2", n=nodes_of("e2")))
+def reducers(spark, d):
+    g = loops.do_all(graphs.copart(spark, d, 2), even=(F.col("id") % 2 == 0).cast("int"))
+    return loops.reduce_nodes(g, total=F.sum("id"), top=F.max("id"), even=F.sum("even"))

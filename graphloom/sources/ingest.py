@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.types import flags_to_labels
 from graphloom.graph import GraphError, PropertyGraph
 from graphloom.plans.ordering import numbered
+from graphloom.plans.session import cut
 
 #: Spark types of the value types that GraphML names; others are read as strings.
 GRAPHML_TYPES = {"long": "long", "int64": "long", "int": "int", "int32": "int", "double": "double", "float": "float", "boolean": "boolean", "bool": "boolean", "string": "string", "timestamp": "timestamp"}
@@ -76,6 +80,12 @@ def build(nodes: DataFrame, edges: DataFrame, key: str = "key", source: str = "s
     return PropertyGraph.of(ends.drop(source, target), n)
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and place of every line that isn't blank; place ascends with the file's name and the line's place in it."""
+    t = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("place"))
+    return t.where("trim(value) <> ''")
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, source: str = "source", destination: str = "destination", schema: str | None = None) -> PropertyGraph:
     reader = spark.read.option("sep", sep).option("header", header)
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
@@ -92,11 +102,11 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False) -> Pr
 
 def read_matrix_market(spark: SparkSession, path: str) -> PropertyGraph:
     """Coordinate format, numbered from 1; the size line says how many nodes there are."""
-    t = spark.read.text(path).where("value rlike '^\\\\s*[0-9]'").withColumn("n", F.monotonically_increasing_id())
-    size = t.orderBy("n").first()
+    t = lines(spark, path).where("value rlike '^\\\\s*[0-9]'")
+    size = t.orderBy("place").first()
     rows, cols, _ = size["value"].split()[:3]
     f = F.split(F.trim("value"), r"\s+")
-    e = t.where(F.col("n") != size["n"]).select((f[0].cast("long") - 1).alias("source"), (f[1].cast("long") - 1).alias("destination"), F.coalesce(F.get(f, F.lit(2)).cast("double"), F.lit(1.0)).alias("w"))
+    e = t.where(F.col("place.n") != size["place"]["n"]).select((f[0].cast("long") - 1).alias("source"), (f[1].cast("long") - 1).alias("destination"), F.coalesce(F.get(f, F.lit(2)).cast("double"), F.lit(1.0)).alias("w"))
     return PropertyGraph(_typed_range(spark, max(int(rows), int(cols))), from_edge_frame(e).edges)
 
 
@@ -119,7 +129,7 @@ def read_node_list(spark: SparkSession, path: str) -> PropertyGraph:
 
 def read_svmlight(spark: SparkSession, path: str) -> PropertyGraph:
     """Lines "label feature:value ..."; a line is a node, features are nodes after all lines."""
-    t = numbered(spark.read.text(path).where("trim(value) <> ''").withColumn("_n", F.monotonically_increasing_id()), ["_n"], "source")
+    t = numbered(lines(spark, path), ["place"], "source")
     n = t.count()
     f = F.split(F.trim("value"), r"\s+")
     e = t.select("source", F.explode(F.slice(f, 2, F.size(f) - 1)).alias("f")).select("source", F.split("f", ":").alias("p")).select("source", (F.col("p")[0].cast("long") + n).alias("destination"), F.col("p")[1].cast("double").alias("w"))
@@ -153,17 +163,101 @@ def read_graphml(spark: SparkSession, path: str) -> PropertyGraph:
     return build(n, e)
 
 
-def from_tables(tables: dict[str, tuple[DataFrame, str]], links: list[tuple[str, str, str, str]]) -> PropertyGraph:
-    """A graph of relational tables: a node per row, an edge per foreign key that isn't null.
+def _with_types(df: DataFrame, columns: list[str] | None) -> DataFrame:
+    """df with types: the names of those flag columns that are set; the columns stay as properties unless they go."""
+    return df.withColumn("types", flags_to_labels(columns)) if columns else df
+
+
+def from_typed_frames(nodes: DataFrame, edges: DataFrame, node_types: list[str] | None = None, edge_types: list[str] | None = None, key: str = "id", source: str = "source", destination: str = "destination") -> PropertyGraph:
+    """A graph of a node and an edge table whose flag columns named in node_types and edge_types become types."""
+    n = _with_types(nodes, node_types).drop(*(node_types or [])).withColumnRenamed(key, "id").withColumn("id", F.col("id").cast("long"))
+    e = _with_types(edges, edge_types).drop(*(edge_types or [])).withColumnsRenamed({source: "src", destination: "dst"})
+    return PropertyGraph.of(e.withColumns({"src": F.col("src").cast("long"), "dst": F.col("dst").cast("long")}), n)
+
+
+def from_csr_types(spark: SparkSession, ends: list[int], destinations: list[int], node_types: list[list[str]], edge_types: list[list[str]]) -> PropertyGraph:
+    """from_csr with a type set for every node and for every edge, in their order."""
+    if len(node_types) != len(ends) or len(edge_types) != len(destinations):
+        raise GraphError("types don't fit the arrays")
+    g = from_csr(spark, ends, destinations)
+    n = spark.createDataFrame([(i, sorted(t)) for i, t in enumerate(node_types)], "id long, types array<string>")
+    e = spark.createDataFrame([(i, sorted(t)) for i, t in enumerate(edge_types)], "edge_id long, types array<string>")
+    return PropertyGraph(g.nodes.drop("types").join(n, "id"), g.edges.drop("types").join(e, "edge_id"))
+
+
+def read_pbbs(spark: SparkSession, path: str) -> PropertyGraph:
+    """A file that begins with AdjacencyGraph or WeightedAdjacencyGraph, then numbers: nodes, edges, offsets, destinations, weights."""
+    t = lines(spark, path)
+    kind = t.orderBy("place").first()["value"].strip()
+    if kind not in ("AdjacencyGraph", "WeightedAdjacencyGraph"):
+        raise GraphError(f"not an adjacency graph: {kind[:40]}")
+    words = t.where(F.trim("value") != kind).select("place", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "x"))
+    x = cut(numbered(words.select("place", "at", F.col("x").cast("double").alias("x")), ["place", "at"], "k").select("k", "x"))
+    n, m = (int(r["x"]) for r in x.where("k < 2").orderBy("k").collect())  # two numbers
+    offsets = x.where((F.col("k") >= 2) & (F.col("k") < 2 + n)).select((F.col("k") - 2).alias("src"), F.col("x").cast("long").alias("lo"))
+    ends = offsets.select((F.col("src") - 1).alias("src"), F.col("lo").alias("hi")).where("src >= 0").unionAll(spark.createDataFrame([(n - 1, m)], "src long, hi long"))
+    span = offsets.join(ends, "src").where("hi > lo").select("src", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("edge_id"))
+    dst = x.where((F.col("k") >= 2 + n) & (F.col("k") < 2 + n + m)).select((F.col("k") - 2 - n).alias("edge_id"), F.col("x").cast("long").alias("dst"))
+    e = span.join(dst, "edge_id")
+    if kind.startswith("Weighted"):
+        e = e.join(x.where(F.col("k") >= 2 + n + m).select((F.col("k") - 2 - n - m).alias("edge_id"), F.col("x").alias("w")), "edge_id")
+    return PropertyGraph.of(e, spark.range(n).select("id"))
+
+
+def from_networkx(spark: SparkSession, graph) -> PropertyGraph:
+    """A graph of an object with nodes(data=True) and edges(data=True), as networkx has; attributes become properties."""
+    nodes = [(str(k), json.dumps(v, default=str)) for k, v in graph.nodes(data=True)]
+    edges = [(str(a), str(b), json.dumps(v, default=str)) for a, b, v in graph.edges(data=True)]
+    n = spark.createDataFrame(nodes, "key string, attributes string")
+    return build(n, spark.createDataFrame(edges, "source string, target string, attributes string"))
+
+
+def from_documents(collections: dict[str, DataFrame], relations: list[tuple[str, str, str]], key: str = "_id") -> PropertyGraph:
+    """A graph of document collections read by any Spark connector: a node per document, typed by its collection.
+
+    relations: (collection, field, edge type); field holds the key of another document, or an array
+    of keys. Scalar fields become properties, the others JSON text.
+    """
+    tables = {name: (df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith(("struct", "array<struct", "map"))}), key) for name, df in collections.items()}
+    nodes = _union([_row_nodes(name, df, pk) for name, (df, pk) in tables.items()])
+    by_key = nodes.select("key", F.element_at(F.split("key", ":", 2), 2).alias("raw"))
+    edges = None
+    for name, field, kind in relations:
+        df, pk = collections[name], key
+        value = F.explode(F.col(field)) if dict(df.dtypes)[field].startswith("array") else F.col(field)
+        part = df.select(F.concat_ws(":", F.lit(name), F.col(pk).cast("string")).alias("source"), value.cast("string").alias("raw")).where("raw is not null")
+        part = part.join(by_key, "raw").select("source", F.col("key").alias("target"), F.array(F.lit(kind)).alias("types"))
+        edges = part if edges is None else edges.unionAll(part)
+    return build(nodes, edges)
+
+
+def _row_nodes(name: str, df: DataFrame, pk: str) -> DataFrame:
+    rest = [c for c in df.columns if c not in ("key", "types", "id")]
+    return df.select(F.concat_ws(":", F.lit(name), F.col(pk).cast("string")).alias("key"), F.array(F.lit(name)).alias("types"), *rest)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
 
-    tables: name to (table, primary key); links: (table, column, referenced table, edge type).
+def from_tables(tables: dict[str, tuple[DataFrame, str]], links: list[tuple[str, str, str, str]], relations: list[tuple[DataFrame, tuple[str, str], tuple[str, str], str]] | None = None) -> PropertyGraph:
+    """A graph of relational tables: a node per row with the row's columns, an edge per foreign key that isn't null.
+
+    tables: name to (table, primary key); links: (table, column, referenced table, edge type);
+    relations: pure relation tables as (table, (column, referenced table), (column, referenced
+    table), edge type), whose rows are edges with the other columns as properties. Columns of one
+    name must have one type.
     """
-    nodes = edges = None
-    for name, (df, pk) in tables.items():
-        part = df.select(F.concat_ws(":", F.lit(name), F.col(pk).cast("string")).alias("key"), F.array(F.lit(name)).alias("types"))
-        nodes = part if nodes is None else nodes.unionAll(part)
+    nodes = _union([_row_nodes(name, df, pk) for name, (df, pk) in tables.items()])
+    at = lambda table, column: F.concat_ws(":", F.lit(table), F.col(column).cast("string"))
+    parts = []
     for name, column, other, kind in links:
         df, pk = tables[name]
-        part = df.where(F.col(column).isNotNull()).select(F.concat_ws(":", F.lit(name), F.col(pk).cast("string")).alias("source"), F.concat_ws(":", F.lit(other), F.col(column).cast("string")).alias("target"), F.array(F.lit(kind)).alias("types"))
-        edges = part if edges is None else edges.unionAll(part)
-    return build(nodes, edges)
+        parts.append(df.where(F.col(column).isNotNull()).select(at(name, pk).alias("source"), at(other, column).alias("target"), F.array(F.lit(kind)).alias("types")))
+    for df, (a, ta), (b, tb), kind in relations or []:
+        rest = [c for c in df.columns if c not in (a, b)]
+        parts.append(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(at(ta, a).alias("source"), at(tb, b).alias("target"), F.array(F.lit(kind)).alias("types"), *rest))
+    return build(nodes, _union(parts))
