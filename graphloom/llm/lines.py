@@ -5,9 +5,10 @@ it, turning each run of separators into one blank and trimming it; lines without
 counted nor removed. Documents with the same text at the same host count once, so that exact
 copies of a page don't make its lines look like boilerplate. Only DataFrame functions are used.
 
-Defined results: null text has no lines and stays null; an empty text stays empty; a null host is
-a host of its own; repeated rows get the same verdict; ties can't occur, as limits are compared
-with counts only; columns other than the named ones are neither read nor changed.
+Defined results: null text has no lines and stays null; an empty text stays empty; a very long text is
+one row of line hashes; a null host is a host of its own; repeated rows get the same verdict; ties
+can't occur, as limits are compared with counts only; an empty table gives an empty result; columns
+other than the named ones, whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -56,11 +57,18 @@ def _occurrences(texts: DataFrame) -> DataFrame:
     )
 
 
+SALTS = 64
+
+
 def frequent_lines(texts: DataFrame, min_documents: int, share: float) -> DataFrame:
     """host and line of the lines in more than min_documents texts and more than share of a host's."""
     counts = _occurrences(texts).groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > min_documents)
-    totals = texts.groupBy("host").agg(F.count("*").alias("total"))
-    return counts.join(totals, "host").where(F.col("documents") > share * F.col("total")).select("host", "line")
+    if not share:
+        return counts.select("host", "line")
+    # A host's total goes to SALTS places, so its lines needn't meet in one task.
+    totals = texts.groupBy("host").agg(F.count("*").alias("total")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = counts.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
+    return counts.join(totals, ["host", "salt"]).where(F.col("documents") > share * F.col("total")).select("host", "line")
 
 
 def _removals(docs: DataFrame, text: str, host: str, min_documents: int, share: float) -> DataFrame:

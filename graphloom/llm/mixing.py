@@ -12,8 +12,10 @@ Targets: sources by code point, null last, weigh 3, 1, 2, repeating; they share
 words; a target stops at cap times its source's size and the excess goes to the rest by weight.
 
 Defined results: null or empty texts have size 0 and are taken 0 times; a source without words has
-target 0; repeated rows stand side by side in the stream and count each; with no rows at all, the
-result is empty; extra columns are not read.
+target 0; repeated rows stand side by side in the stream and count each; a very long text spans many
+blocks; ties in the hashed order are broken by the key, then by a hash of the row; with no rows at
+all, the result is empty; extra columns, whatever their names, are carried but don't change what is
+taken.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ CAP = 2
 BLOCK = 64
 #: Documents of a source are ordered by the MD5 of their key, within ranges of its first hexadecimal
 #: digits; slots are ranked within ranges of SPAN. Neither number changes a result.
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 4
 SPAN = 65536
 GOLDEN = 0.6180339887498949
 
@@ -76,8 +78,11 @@ def schedule(per: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "host string, slot long, turn long, block long")
     step = golden_step(n)
     back = pow(step, -1, n) if n > 1 else 0
-    starts = per.where("draws > 0").select("host", "blocks", "draws", "first", F.explode(F.sequence(F.lit(0), ((F.col("draws") - 1) / 4096).cast("long"))).alias("c"))
-    starts = starts.repartition("host", "c")
+    # Two steps of up to 4096 each, as a source's draws grow with the corpus.
+    wide = F.explode(F.sequence(F.lit(0), ((F.col("draws") - 1) / (1 << 24)).cast("long")))
+    starts = per.where("draws > 0").select("host", "blocks", "draws", "first", wide.alias("b")).repartition("host", "b")
+    narrow = F.sequence(F.col("b") * 4096, F.least(F.col("b") * 4096 + 4095, ((F.col("draws") - 1) / 4096).cast("long")))
+    starts = starts.select("host", "blocks", "draws", "first", F.explode(narrow).alias("c")).repartition("host", "c")
     lo = F.col("c") * 4096
     point = F.explode(F.sequence(lo, F.least(lo + 4095, F.col("draws") - 1)))
     points = starts.select("host", "blocks", "first", point.alias("o")).withColumn("p", F.col("first") + F.col("o"))
@@ -100,57 +105,74 @@ def _positions(sized: DataFrame) -> DataFrame:
     sums = hashed.groupBy("host", "bucket").agg(F.sum("size").alias("m"))
     earlier = Window.partitionBy("host").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("host", "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("host", "bucket").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("host", "bucket").orderBy("h", "key", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("r", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.join(sums.hint("merge"), ["host", "bucket"]).select("key", "host", "source", "size", (F.col("base") + F.col("r")).alias("at"))
+    return placed.join(sums.hint("merge"), ["host", "bucket"]).select("key", "row", "host", "source", "size", (F.col("base") + F.col("r")).alias("at"))
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK) -> DataFrame:
-    """key, size, source_size, target, taken and at (the row's place in its source), one row per input row."""
+def _digest(docs: DataFrame, text: str, whole: bool) -> Column:
+    """A hash of the text, or of all columns of a row."""
+    if not whole:
+        return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    # Maps can't be hashed, their JSON text can.
+    return F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes])
+
+
+def _mixed(docs: DataFrame, key: str, text: str, source: str, whole: bool, weights, share: float, cap: int, block: int) -> DataFrame:
+    """key, row (the row's hash), host, size, source_size, target, taken and at, one row per input row."""
     src = F.col(f"`{source}`").cast("string")
-    sized = docs.select(F.col(f"`{key}`").alias("key"), src.alias("source"), host_key(src).alias("host"), size_of(F.col(f"`{text}`")).alias("size"))
-    sized = cut(sized)  # three columns; the texts are read once
+    sized = docs.select(F.col(f"`{key}`").alias("key"), _digest(docs, text, whole).alias("row"), src.alias("source"), host_key(src).alias("host"), size_of(F.col(f"`{text}`").cast("string")).alias("size"))
+    sized = cut(sized)  # four short columns; the texts are read once
     per = cut(targets(sized, weights, share, cap, block))  # one row per source
     uses = schedule(per).groupBy("host", "block").agg(F.count("*").alias("uses"))
     placed = _positions(sized)
     spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)))
-    parts = placed.select("key", "host", "size", "at", F.explode_outer(spans).alias("block"))
+    parts = placed.select("key", "row", "host", "size", "at", F.explode_outer(spans).alias("block"))
     lo, hi = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
     parts = parts.withColumn("overlap", F.coalesce(hi - lo, F.lit(0)))
     # Sizes behind an explode are estimated far too low; the hints keep sides that grow from being broadcast.
     joined = parts.join(uses.hint("merge"), ["host", "block"], "left")
     # Rows without words share their place with others; what they take is 0 for each.
-    taken = joined.where("size > 0").groupBy("host", "at").agg(F.first("key").alias("key"), F.first("size").alias("size"), F.sum(F.col("overlap") * F.coalesce(F.col("uses"), F.lit(0))).alias("taken"))
-    none = placed.where("size = 0").select("host", "at", "key", "size", F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).join(per.select("host", "source_size", "target"), "host").select(F.col("key").alias(key), "size", "source_size", "target", "taken", "host", "at")
+    taken = joined.where("size > 0").groupBy("host", "at").agg(F.first("key").alias("key"), F.first("row").alias("row"), F.first("size").alias("size"), F.sum(F.col("overlap") * F.coalesce(F.col("uses"), F.lit(0))).alias("taken"))
+    none = placed.where("size = 0").select("host", "at", "key", "row", "size", F.lit(0).cast("long").alias("taken"))
+    return taken.unionByName(none).join(per.select("host", "source_size", "target"), "host")
+
+
+def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK) -> DataFrame:
+    """key, size, source_size, target, taken, host and at (the row's place in its source), one row per input row."""
+    rows = _mixed(docs, key, text, source, False, weights, share, cap, block)
+    return rows.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "host", "at")
 
 
-def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK) -> DataFrame:
     """The mixed documents, columns as in docs.
 
     A document that is taken q times in full and m words besides gives q rows with its text and,
-    if m > 0, one with its first m words, joined by blanks; one that isn't taken gives none. Rows
-    with equal key and source must have equal texts.
+    if m > 0, one with its first m words, joined by blanks; one that isn't taken gives none. A row is
+    known by its key and a hash of all its columns, so rows that share a key, or have none, are each
+    taken with their own text.
     """
     columns = docs.columns
-    report = mix_report(docs, key, text, source, **how).where("taken > 0")
-    report = report.select(F.col(key).alias("_k"), F.col("host").alias("_h"), F.col("size").alias("_n"), F.floor(F.col("taken") / F.col("size")).alias("_q"), (F.col("taken") % F.col("size")).alias("_m"))
-    # Repeated rows are drawn together: the rows of one key are replaced by what they take in sum.
-    rows = docs.dropDuplicates([key, source])
-    joined = rows.join(report, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (host_key(F.col(f"`{source}`").cast("string")) == F.col("_h")))
-    copies = joined.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_q") + F.when(F.col("_m") > 0, 1).otherwise(0))))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})")), F.lit(1), F.greatest(F.col("_m"), F.lit(1)).cast("int")), " ")
-    copies = copies.withColumn("_t", F.when(F.col("_c") <= F.col("_q"), F.col(text)).otherwise(part))
+    report = _mixed(docs, key, text, source, True, weights, share, cap, block).where("taken > 0")
+    report = report.select("key", "row", F.floor(F.col("taken") / F.col("size")).alias("whole"), (F.col("taken") % F.col("size")).alias("rest"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(f"`{key}`").alias("key"), _digest(docs, text, True).alias("row"))
+    # Rows equal in all columns stand once here and once each in the report.
+    rows = rows.dropDuplicates(["key", "row"])
+    joined = rows.alias("d").join(report.alias("r"), F.col("d.key").eqNullSafe(F.col("r.key")) & (F.col("d.row") == F.col("r.row"))).select("d.doc", "r.whole", "r.rest")
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0))))
+    given = F.col("doc")[text]
+    part = F.array_join(F.slice(F.regexp_extract_all(given, F.lit(f"({WORD})")), F.lit(1), F.greatest(F.col("rest"), F.lit(1)).cast("int")), " ")
+    copies = copies.withColumn("now", F.when(F.col("copy") <= F.col("whole"), given).otherwise(part))
     out = []
     for c in columns:
         if c == text:
-            out.append(F.col("_t").alias(c))
+            out.append(F.col("now").alias(c))
         elif c == "n_chars":
-            out.append(F.length("_t").cast(docs.schema[c].dataType).alias(c))
+            out.append(F.length("now").cast(docs.schema[c].dataType).alias(c))
         else:
-            out.append(F.col(f"`{c}`"))
+            out.append(F.col("doc")[c].alias(c))
     return copies.select(*out)

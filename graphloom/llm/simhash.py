@@ -14,9 +14,10 @@ least one that its own links reach, never all pairs; classes are then joined by
 components over the links.
 
 Defined results: null or empty texts have fingerprint 0, which links like any other; texts of fewer
-words than a shingle have one shingle, all their words; repeated rows share a component; rows
-without a doc_id are linked, but never name a component (null if all its rows have none); extra
-columns are not read.
+words than a shingle have one shingle, all their words; a very long text is hashed in slices; ties
+(a bit set in exactly half of the shingles) give bit 0; repeated rows share a component; rows
+without a doc_id are linked, but never name a component (null if all its rows have none); an empty
+table gives an empty result; extra columns, whatever their names, are carried but not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import min_label
@@ -39,6 +40,10 @@ SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 REFINE = 256
+#: Lists that a fourth byte leaves longer than this are split by pigeonhole over smaller pieces.
+DENSE = 4096
+#: Index entries that a task links at a time, and any list that is longer.
+STREAM = 1 << 20
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -82,14 +87,18 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """key and fp, the fingerprint as a signed number."""
+    """key, txt (a hash of the text) and fp, the fingerprint as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints_of(batch.column(1), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[key, "fp"])
+            fp = fingerprints_of(batch.column(2), shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["key", "txt", "fp"])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"`{key}` long, fp long")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), text_hash(F.col(f"`{text}`")).alias("txt"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "key long, txt long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _met(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +125,23 @@ def _met(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.n
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _ball(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All links of a long list, by pigeonhole over its 16 four-bit pieces.
+
+    Fingerprints within DISTANCE = 4 bits differ in 4 pieces at most; so of 5 disjoint groups of
+    pieces (of 3 or 4) one is equal in both, and only fingerprints that agree in a group are compared.
+    """
+    fps = np.unique(fps)
+    left, right = [], []
+    groups = np.array_split(np.arange(16), 5)
+    for g in groups:
+        mask = np.uint64(sum(0xF << 4 * int(p) for p in g))
+        l, r = _met(fps & mask, fps, len(fps))
+        left.append(l)
+        right.append(r)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each linked fingerprint but the least of its links' component, that least one."""
     nodes, both = np.unique(np.concatenate([left, right]), return_inverse=True)
@@ -147,7 +173,11 @@ def links_in(key: np.ndarray, triple: np.ndarray, fps: np.ndarray) -> tuple[np.n
             rows = np.flatnonzero([position not in TRIPLES[t] for t in triple[big]])
             if len(rows):
                 finer = inverse[big][rows].astype(np.uint64) << np.uint64(8) | by[rows, position].astype(np.uint64)
-                found.append(_met(finer, fps[big][rows], len(rows)))
+                _, at, m = np.unique(finer, return_inverse=True, return_counts=True)
+                some = m[at] <= DENSE
+                found.append(_met(finer[some], fps[big][rows][some], DENSE))
+                for dense in np.flatnonzero(m > DENSE):
+                    found.append(_ball(fps[big][rows][at == dense]))
     return _forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
 
 
@@ -158,15 +188,31 @@ def links(classes: DataFrame) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)])
     index = classes.select("fp", F.explode(entries).alias("e")).select("fp", "e.t", "e.k")
     # As many parts as the session has; every list lies in one of them.
-    index = index.repartition("t", "k")
+    index = index.repartition("t", "k").sortWithinPartitions("t", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(2).to_numpy(), b.column(1).to_numpy(), b.column(0).to_numpy()) for b in batches]
-        if not parts:
-            return
-        key, triple, fps = (np.concatenate(x) for x in zip(*parts))
-        a, b = links_in(_packed(key.view(np.uint64), triple), triple, fps.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
+        # Lists come in order, so whole lists are linked as they pass; only the last one is held back.
+        held: list[np.ndarray] = []
+        rows = 0
+
+        def linked(table: np.ndarray) -> pa.RecordBatch:
+            triple = table[1].astype(np.int32)
+            a, b = links_in(_packed(table[2].view(np.uint64), triple), triple, table[0].view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()]))
+            rows += batch.num_rows
+            if rows < STREAM:
+                continue
+            table = np.concatenate(held, axis=1)
+            last = np.flatnonzero((table[1] != table[1, -1]) | (table[2] != table[2, -1]))
+            end = int(last[-1]) + 1 if len(last) else 0
+            if end:
+                yield linked(table[:, :end])
+            held, rows = [table[:, end:]], table.shape[1] - end
+        if held and rows:
+            yield linked(np.concatenate(held, axis=1))
 
     return index.mapInArrow(run, "src long, dst long")
 
@@ -180,9 +226,9 @@ def _packed(masked: np.ndarray, triple: np.ndarray) -> np.ndarray:
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Two tables: key and fp of every row; fp, root and component_id (the least key that links reach) of every fingerprint."""
-    fps = cut(with_fingerprints(docs, key, text, shingle))  # two numbers a row
-    classes = fps.groupBy("fp").agg(F.min(key).alias("least"))
+    """Two tables: key, txt and fp of every row; fp, root and component_id (the least key that links reach) of every fingerprint."""
+    fps = cut(with_fingerprints(docs, key, text, shingle))  # three numbers a row
+    classes = fps.groupBy("fp").agg(F.min("key").alias("least"))
     labels = min_label(links(classes)).withColumnsRenamed({"id": "fp", "label": "root"})
     full = classes.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return fps, full.join(full.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
@@ -191,7 +237,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """key, fp and component_id of every row."""
     fps, named = groups(docs, key, text, shingle)
-    return fps.join(named, "fp").select(key, "fp", "component_id")
+    return fps.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -200,18 +246,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: the one whose key names the component; columns as in docs.
+    """One row of each group, whatever its key: the least by key (nulls last), then by the text's hash; columns as in docs.
 
-    Of repeated rows of that key one stays. A group whose rows all lack a key keeps one of them.
+    Of rows equal in key and text one stays. Rows of one key with unlike texts are in groups of
+    their own, and each group keeps its row.
     """
     fps, named = groups(docs, key, text)
-    keep = named.where("component_id is not null").select(F.col("component_id").alias("_key")).distinct()
-    kept = docs.join(keep, F.col(f"`{key}`").cast("long") == F.col("_key"), "left_semi").dropDuplicates([key])
-
-    @F.arrow_udf("long")
-    def fp(column: pa.Array) -> pa.Array:
-        return pa.array(fingerprints_of(column).view(np.int64))
-
-    orphans = docs.where(F.col(f"`{key}`").isNull()).withColumn("_fp", fp(F.col(f"`{text}`")))
-    nameless = named.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    return kept.unionByName(orphans.join(nameless, "_fp").dropDuplicates(["_root"]).drop("_fp", "_root"))
+    first = fps.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "txt")).alias("first"))
+    keep = first.select("first.key", "first.txt")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("key"), text_hash(F.col(f"`{text}`")).alias("txt"))
+    kept = rows.alias("r").join(keep.alias("k"), F.col("r.key").eqNullSafe(F.col("k.key")) & (F.col("r.txt") == F.col("k.txt")), "left_semi")
+    return kept.dropDuplicates(["key", "txt"]).select("row.*")

@@ -13,9 +13,11 @@ buckets share; so a passage that a third of all documents have costs one entry p
 task holds more than its bucket or its part. Then the same for the windows that hits were extended
 to, with the least doc_id of each. The documents' shuffle into buckets is shared by all passes.
 
-Defined results: null or empty texts have no words; texts under 13 words lose none; rows without a
-doc_id count as after all others and never cause removals; rows with equal doc_id don't remove
-each other's words; windows are judged on the input; extra columns are not read.
+Defined results: null or empty texts have no words; texts under 13 words lose none; a text longer than
+a bucket is a bucket of its own with what falls there; rows without a doc_id count as after all
+others and never cause removals; rows with equal doc_id (repeated rows, too) don't remove each
+other's words; windows are judged on the input; an empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ WIDTH = 13
 BLOCK = 7
 BUCKET = 8 << 20
 PART = 24 << 20
+MOST_TASKS = 100_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -73,6 +76,12 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
+def _stretches(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """The parts that ascending part numbers name, with their rows; parts without any cost nothing."""
+    start = _runs(part)
+    return list(zip(part[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)]))
+
+
 def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a bucket, words before each row, and each row's id (rows without one come last)."""
     words, first = hashed_words(table.column("text"))
@@ -92,13 +101,10 @@ def _probes(table: pa.Table, parts: int) -> list[tuple]:
     code, marked = code[plain], marked[plain]  # of a window that is a block and a probe, the block
     part = _part(code, parts)
     low = (code & np.uint64(0xFFFFFFFE)).astype(np.uint32)
-    edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     out = []
-    for p in range(parts):
-        a, b = edges[p], edges[p + 1]
-        if a < b:
-            m = marked[a:b]
-            out.append((p, pack_sorted(np.sort(low[a:b][m])), pack_sorted(np.sort(low[a:b][~m]))))
+    for p, a, b in _stretches(part):
+        m = marked[a:b]
+        out.append((p, pack_sorted(np.sort(low[a:b][m])), pack_sorted(np.sort(low[a:b][~m]))))
     return out
 
 
@@ -162,8 +168,7 @@ def _extended(table: pa.Table, hits: pa.Table, parts: int) -> list[tuple]:
     h1, h2, least = h1[order], h2[order], ids[wrow][order]
     start = _runs(h1, h2)
     h1, h2, least = h1[start], h2[start] << np.uint64(32), least[start]
-    edges = np.searchsorted(_part(h1, parts), np.arange(parts + 1, dtype=np.uint64))
-    return [(p, _pack_windows(h1[a:b], h2[a:b], least[a:b])) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+    return [(p, _pack_windows(h1[a:b], h2[a:b], least[a:b])) for p, a, b in _stretches(_part(h1, parts))]
 
 
 def _earlier(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -245,8 +250,8 @@ def _plan(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     buckets, parts = max(1, -(-volume // BUCKET)), max(1, -(-volume // PART))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
-    # As many tasks as there are buckets, within what the session allows a shuffle to have.
-    rows = rows.repartition("bucket")
+    # A task per bucket or so; with the number given, adaptive execution doesn't pack many into one.
+    rows = rows.repartition(min(buckets, MOST_TASKS), "bucket")
 
     def of_bucket(f, names, *more):
         def run(key, table):

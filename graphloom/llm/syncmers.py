@@ -11,12 +11,16 @@ share of the slots that either fills.
 Defined results: null counts as empty; a text of 1 to K - 1 words has one anchor, all its words;
 a text without words has an empty fingerprint, and two empty fingerprints have likeness 1; equal
 texts have equal fingerprints; only words count, so texts that differ in separators are alike.
-Successors go by ascending key, null keys last, equal keys by text; repeated rows follow each
-other; a single row is its own successor. Extra columns are not read. DataFrame functions only.
+Successors go by ascending key, null keys last, equal keys by text (those of a heavy key, and rows
+without one, by a hash of the text first); repeated rows follow each other; a single row is its own
+successor. In a very long text, anchors beyond word 2^24 all have that place. An empty table gives an
+empty result; extra columns are not read. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,34 +82,43 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, value.cast("double")).drop(s, f"{s}m")
 
 
-def _bounds(keys: DataFrame, parts: int) -> list[int]:
-    """Ascending cut points of about equal shares of the keys; one number per part."""
+#: Parts that the rows of a heavy key, or those without one, are spread over.
+SALTS = 64
+
+
+def _bounds(keys: DataFrame, parts: int) -> tuple[list[int], list[int]]:
+    """Ascending cut points of about equal shares of the keys, one number per part; and those keys that fill whole shares."""
     found = keys.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
-    return sorted(set(found or []))
+    found = found or []
+    return sorted(set(found)), sorted(k for k, n in Counter(found).items() if n > 1)
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
     """Number of cut points at or below key, by two short searches; null keys go last."""
     if not bounds:
-        return F.lit(0)
+        return F.when(key.isNull(), F.lit(1)).otherwise(F.lit(0))
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     heads = F.array(*[F.lit(g[0]).cast("bigint") for g in groups])
     table = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in g]) for g in groups])
     coarse = F.size(F.filter(heads, lambda b: b <= key))
     fine = F.size(F.filter(F.get(table, F.greatest(coarse - 1, F.lit(0))), lambda b: b <= key))
-    return F.when(key.isNull(), F.lit(len(bounds))).otherwise(F.greatest(coarse - 1, F.lit(0)) * step + fine)
+    return F.when(key.isNull(), F.lit(len(bounds) + 1)).otherwise(F.greatest(coarse - 1, F.lit(0)) * step + fine)
 
 
 def with_successor(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """key, text, fp of every row, with next_text and next_fp of the row that follows it.
 
     Rows are split into ranges of the key, and each range also gets the next range's first row, so
-    no range holds more than its share.
+    no range holds more than its share. Rows of one heavy key, and those without a key, follow each
+    other by a hash of the text, then by the text, and so are spread over SALTS parts.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _bounds(docs.select("key"), parts)
-    rows = docs.withColumn("part", _bucket(F.col("key"), bounds).cast("int"))
+    bounds, heavy = _bounds(docs.select("key"), parts)
+    # A heavy key is its range's first one, so its salted parts come before the range's rest.
+    spread = F.col("key").isNull() | F.coalesce(F.col("key").isin(heavy), F.lit(False)) if heavy else F.col("key").isNull()
+    salt = F.when(spread, F.pmod(F.xxhash64("text"), F.lit(SALTS))).otherwise(SALTS)
+    rows = docs.withColumn("part", (_bucket(F.col("key"), bounds) * (SALTS + 1) + salt).cast("int"))
     heads = rows.groupBy("part").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text")).alias("head"))
     heads = heads.select("part", "head.key", "head.text")
     order = Window.orderBy("part")  # one row per range

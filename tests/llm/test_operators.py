@@ -336,25 +336,233 @@ def test_scoring(spark, docs, empty):
     assert all(abs(again[d] - rows[d]["log_likelihood"]) < 0.01 for d in again)
 
 
-def test_every_position_trains(spark, monkeypatch):
+def test_every_position_trains_once(spark, monkeypatch):
     texts = ["a b c d e f g", "x", None, " ", "a b c d e f g", "b a " * 40]
     fitted = []
     mean = scoring._mean
     monkeypatch.setattr(scoring, "_mean", lambda states, shards: (fitted.append(sum(r["n"] for r in states.select("n").collect())), mean(states, shards))[1])
     scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert fitted == [sum(len((t or "").split()) for t in texts)] * scoring.ROUNDS
+    assert len(fitted) == scoring.ROUNDS and sum(fitted) == sum(len((t or "").split()) for t in texts)
 
 
 def test_network_learns_context():
     r = np.random.default_rng(1)
-    tokens = np.tile(np.arange(6, dtype=np.int16), 4000)
+    tokens = np.tile(np.arange(6, dtype=np.int16), 40000)
     first = np.arange(0, len(tokens) + 1, 6 * 20)
-    kind, around = tokens.astype(np.int64), scoring._contexts(tokens, first)
+    around = scoring._contexts(tokens, first)
     net = scoring.Network()
-    before = net.log_probabilities(kind, around).mean()
-    order = r.permutation(len(kind))
-    net.fit(kind[order], around[:, order])
-    assert before < -2 and net.log_probabilities(kind, around).mean() > -0.3
+    before = net.log_probabilities(tokens, around).mean()
+    order = r.permutation(len(tokens))
+    net.fit(tokens[order], around[:, order])
+    assert before < -6 and net.log_probabilities(tokens, around).mean() > -0.5
+
+
+def test_network_gives_probabilities_over_all_tokens():
+    net = scoring.Network(3)
+    around = np.array([[3], [scoring.PAD], [4100], [7]], np.int16)
+    every = np.arange(scoring.KNOWN + scoring.RARE, dtype=np.int16)
+    p = np.exp(net.log_probabilities(every, np.repeat(around, len(every), axis=1)).astype(np.float64))
+    assert abs(p.sum() - 1) < 1e-4
+
+
+def test_scores_by_hand(spark, monkeypatch):
+    """The sum over a small corpus, with the network's output taken as given and all counts made anew."""
+    r = random.Random(9)
+    words = [prose(r, 1) for _ in range(30)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    texts += [texts[0], texts[1], " ".join(f"odd{i}" for i in range(50)), " ".join(f"odd{i}" for i in range(50)), "", None]
+    monkeypatch.setattr(scoring, "KNOWN", 64)
+    monkeypatch.setattr(scoring, "PAD", 128)
+    monkeypatch.setattr(scoring, "CLASSES", 1)
+    monkeypatch.setattr(scoring, "BUCKET", 500)
+    monkeypatch.setattr(scoring, "PART", 1500)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nets = []
+    train = scoring.train
+    monkeypatch.setattr(scoring, "train", lambda *a: nets.append((a[1], train(*a))) or nets[-1][1])
+    got = by_id(scoring.score(df), "n_tokens", "log_likelihood")
+    vocab, net = nets[0]
+    split = [(t or "").split() for t in texts]
+    count, around_count, triple = {}, {}, {}
+    for w in split:
+        for i, x in enumerate(w):
+            count[x] = count.get(x, 0) + 1
+            if 0 < i < len(w) - 1:
+                around_count[w[i - 1], w[i + 1]] = around_count.get((w[i - 1], w[i + 1]), 0) + 1
+                triple[w[i - 1], x, w[i + 1]] = triple.get((w[i - 1], x, w[i + 1]), 0) + 1
+    hashed = lambda w: scoring.hashed_words(pa.array([" ".join(w)]))[0]
+    mass = {}
+    for x, n in count.items():
+        t = int(vocab.tokens(hashed([x]))[0])
+        mass[t] = mass.get(t, 0) + n
+    remembered = 0
+    for d, w in enumerate(split):
+        if not w:
+            assert got[d] == (0, 0.0)
+            continue
+        h = hashed(w)
+        tokens = vocab.tokens(h)
+        value = net.log_probabilities(tokens, scoring._contexts(tokens, np.array([0, len(w)]))).astype(float)
+        chosen = set(scoring.memory_keys(h, np.array([0, len(w)]))[0].tolist())
+        total = 0.0
+        for i, x in enumerate(w):
+            v = value[i]
+            if tokens[i] >= scoring.KNOWN:
+                v += np.log(count[x] / mass[int(tokens[i])])
+            if i in chosen and (n := around_count[w[i - 1], w[i + 1]] - 1) > 0:
+                a = n / (n + scoring.DOUBT)
+                v = np.log((1 - a) * np.exp(v) + a * (triple[w[i - 1], x, w[i + 1]] - 1) / n)
+                remembered += 1
+            total += v
+        assert got[d][0] == len(w) and abs(got[d][1] - total) < 0.01, (d, got[d], total)
+    assert remembered > 10
+
+
+CLASHES = ["key", "row", "doc", "txt", "fp", "root", "host", "size", "at", "copy", "now", "whole", "rest", "first", "_row", "_k", "_t", "_c", "_h", "_n", "_q", "_m", "_key", "_fp", "_root", "_encoded", "_host", "_txt", "_number", "_clean", "_src", "gone", "block", "bucket", "part", "source_size", "target", "taken"]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Clashing ids, no ids, no texts, repeated rows, and every internal name as a column."""
+    r = random.Random(21)
+    rows = [(i % 5 if i % 3 else None, prose(r, 30 + i), None if i % 4 == 0 else f"s{i % 2}", i) for i in range(15)]
+    rows += [rows[0], rows[1], (1, None, None, 90), (None, "", "s1", 91), (None, None, None, 92)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tag int")
+    return df.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASHES)]).cache()
+
+
+def test_near_dedup_keeps_a_row_of_every_group(awkward):
+    out = simhash.near_dedup(awkward)
+    assert out.columns == awkward.columns
+    rows = awkward.collect()
+    texts = sorted({r["text"] or "" for r in rows})
+    assert sorted(r["text"] or "" for r in out.collect()) == texts  # unlike texts, so each is a group
+    assert set(map(tuple, out.collect())) <= set(map(tuple, rows))
+
+
+def test_mix_takes_every_row_with_its_own_text(awkward):
+    out = mixing.apply_mix(awkward)
+    assert out.columns == awkward.columns
+    want, got = {}, {}
+    for r in awkward.collect():
+        want.setdefault(r["tag"], [r["doc_id"], r["source"], (r["text"] or "").split(), 0])[3] += 1
+    for r in out.collect():
+        key, source, words, _ = want[r["tag"]]
+        mine = r["text"].split()
+        assert (r["doc_id"], r["source"]) == (key, source) and mine == words[: len(mine)]
+        got[r["tag"]] = got.get(r["tag"], 0) + len(mine)
+    rep = mixing.mix_report(awkward)
+    assert sum(got.values()) == sum(r["taken"] for r in rep.collect())
+    assert all(n <= 2 * len(want[t][2]) * want[t][3] for t, n in got.items())
+    assert all(lines.apply_quality(awkward).columns == awkward.columns == f.columns for f in (lines.line_dedup(awkward),))
+    assert lines.line_dedup(awkward).count() == awkward.count()
+
+
+def test_reports_count_every_row(awkward):
+    """No row is lost or doubled where ids clash or are missing."""
+    n = awkward.count()
+    for report in (simhash.report, substrings.deduplicate, syncmers.fingerprint_report, privacy.report, scoring.score, mixing.mix_report, lines.quality_report):
+        assert report(awkward).count() == n, report
+    texts = sorted((r["text"] or "").split() for r in awkward.collect())
+    assert sorted(r["n_words"] for r in substrings.deduplicate(awkward).collect()) == sorted(map(len, texts))
+    assert sentencepiece.digests(awkward, model_path()).count() == n
+
+
+def test_field_on_long_texts():
+    import time
+
+    w = privacy.trained()
+    mixed = lambda n: " ".join(f"mail a{i}@b{i}.com or call (555) 123-{i % 9000 + 1000}," for i in range(n))
+    took = []
+    for n in (500, 4000):
+        text = mixed(n)
+        began = time.time()
+        base, more = privacy.spans_of(text, w)
+        took.append(time.time() - began)
+        spans = sorted((a, b) for _, a, b in base + more)
+        assert len(base) == n and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    assert took[1] < 20 * took[0] + 1
+    numbers = "5551234567 " * 3000
+    found = privacy.added_spans(numbers, [], w)
+    assert all(text_ok for text_ok in (numbers[a:b].strip() for _, a, b in found))
+
+
+def test_a_number_that_fails_the_check_digit_is_no_card():
+    w = privacy.trained()
+    r = random.Random(31)
+    said = 0
+    for _ in range(200):
+        d = "".join(r.choice("0123456789") for _ in range(15))
+        d += next(c for c in "0123456789" if not privacy.luhn(d + c))
+        said += any(k == 2 for k, _, _ in privacy.added_spans(f"order {d} was sent", [], w))
+    assert said < 20
+
+
+def fingerprint_by_hand(words, hashes, pair):
+    """Slots to (anchor, first place), from hashes of words and a hash of two numbers."""
+    k, s = syncmers.K, syncmers.S
+    out = {}
+    for i in range(len(words) - k + 1):
+        runs = [pair(hashes[j], hashes[j + 1]) for j in range(i, i + k - s + 1)]
+        if runs[1] < runs[0] and runs[1] < runs[2]:
+            continue
+        h = pair(runs[0], runs[2]) & ~0xFFFFFF
+        slot = (h & (1 << 64) - 1) >> 58
+        best = out.get(slot)
+        if best is None or (h, i) < best:
+            out[slot] = (h, i)
+    return out
+
+
+def test_fingerprints_by_hand(spark, docs):
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id").collect()
+    near = by_id(syncmers.fingerprint_report(docs.where("doc_id is not null").dropDuplicates(["doc_id"])), "near_edited", "near_next")
+    some = [r for r in rows if len(r["text"].split()) >= syncmers.K][:12]
+    prints = {}
+    for r in some:
+        w = WORD.findall(r["text"])
+        h = [x[0] for x in spark.createDataFrame([(i, x) for i, x in enumerate(w)], "i int, w string").select("i", F.xxhash64("w").alias("h")).orderBy("i").select("h").collect()]
+        table = {}
+        pairs = {(h[j], h[j + 1]) for j in range(len(h) - 1)}
+        got = spark.createDataFrame(sorted(pairs), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+        table.update({(x["a"], x["b"]): x["h"] for x in got})
+        runs = [table[h[j], h[j + 1]] for j in range(len(h) - 1)]
+        more = {(runs[i], runs[i + 2]) for i in range(len(runs) - 2)}
+        got = spark.createDataFrame(sorted(more), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+        table.update({(x["a"], x["b"]): x["h"] for x in got})
+        prints[r["doc_id"]] = fingerprint_by_hand(w, h, lambda a, b: table[a, b])
+    form = by_id(syncmers.fingerprint_report(docs.where("doc_id is not null").dropDuplicates(["doc_id"])), "fingerprint")
+    for d, p in prints.items():
+        want = sorted(format(h & (1 << 64) - 1 | i, "016x") for h, i in p.values())
+        have = form[d][0]
+        assert sorted(re.findall("[0-9a-f]{16}", have)) == want, d
+    for x, y in zip(some, some[1:]):
+        if rows.index(y) == rows.index(x) + 1:
+            a, b = prints[x["doc_id"]], prints[y["doc_id"]]
+            second = dict(b.values())
+            shared = sorted(i - second[h] if False else second[h] - i for h, i in a.values() if h in second)
+            middle = shared[(len(shared) - 1) // 2] if shared else 0
+            want = sum(abs(o - middle) <= syncmers.DRIFT for o in shared) / len(set(a) | set(b))
+            assert abs(near[x["doc_id"]][1] - want) < 1e-9
+
+
+def test_toxicity_report_with_both_classes(spark):
+    r = random.Random(2)
+    rows, marks = [], []
+    for i in range(240):
+        w = prose(r, 25).split()
+        if i % 2:
+            w[3:3] = ["grumblik", "snarfole", "zorgface"]
+        rows.append((i, " ".join(w)))
+        marks.append((i, 1, i % 2))
+    d, m = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.report(d, m).collect()
+    import zlib
+
+    assert len(got) == 240 and all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2) for x in got)
+    held = [x for x in got if x["held_out"]]
+    assert sum(x["predicted"] == x["doc_id"] % 2 for x in held) > 0.8 * len(held)
+    assert all(x["predicted"] == int(x["score"] >= 0.3) and 0 <= x["score"] <= 1 for x in got)
 
 
 def test_pipeline_by_hand(spark, tmp_path):
