@@ -359,7 +359,7 @@ def test_network_learns_context():
 
 def test_network_gives_probabilities_over_all_tokens():
     net = scoring.Network(3)
-    around = np.array([[3], [scoring.PAD], [4100], [7]], np.int16)
+    around = np.array([[3], [scoring.PAD], [4050], [7]], np.int16)
     every = np.arange(scoring.KNOWN + scoring.RARE, dtype=np.int16)
     p = np.exp(net.log_probabilities(every, np.repeat(around, len(every), axis=1)).astype(np.float64))
     assert abs(p.sum() - 1) < 1e-4
@@ -368,14 +368,15 @@ def test_network_gives_probabilities_over_all_tokens():
 def test_scores_by_hand(spark, monkeypatch):
     """The sum over a small corpus, with the network's output taken as given and all counts made anew."""
     r = random.Random(9)
-    words = [prose(r, 1) for _ in range(30)]
+    words = [f"w{i}" for i in range(30)]
+    # More words than the network knows, so that some are rare.
+    many = [f"m{i}" for i in range(5000) for _ in range(1 + i % 3)]
+    r.shuffle(many)
     texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    texts += [" ".join(many[i : i + 400]) for i in range(0, len(many), 400)]
     texts += [texts[0], texts[1], " ".join(f"odd{i}" for i in range(50)), " ".join(f"odd{i}" for i in range(50)), "", None]
-    monkeypatch.setattr(scoring, "KNOWN", 64)
-    monkeypatch.setattr(scoring, "PAD", 128)
-    monkeypatch.setattr(scoring, "CLASSES", 1)
-    monkeypatch.setattr(scoring, "BUCKET", 500)
-    monkeypatch.setattr(scoring, "PART", 1500)
+    monkeypatch.setattr(scoring, "BUCKET", 20000)
+    monkeypatch.setattr(scoring, "PART", 30000)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     nets = []
     train = scoring.train
@@ -395,7 +396,7 @@ def test_scores_by_hand(spark, monkeypatch):
     for x, n in count.items():
         t = int(vocab.tokens(hashed([x]))[0])
         mass[t] = mass.get(t, 0) + n
-    remembered = 0
+    remembered = rare = 0
     for d, w in enumerate(split):
         if not w:
             assert got[d] == (0, 0.0)
@@ -414,8 +415,9 @@ def test_scores_by_hand(spark, monkeypatch):
                 v = np.log((1 - a) * np.exp(v) + a * (triple[w[i - 1], x, w[i + 1]] - 1) / n)
                 remembered += 1
             total += v
-        assert got[d][0] == len(w) and abs(got[d][1] - total) < 0.01, (d, got[d], total)
-    assert remembered > 10
+            rare += int(tokens[i] >= scoring.KNOWN)
+        assert got[d][0] == len(w) and abs(got[d][1] - total) < 0.01 + 1e-5 * abs(total), (d, got[d], total)
+    assert remembered > 10 and rare > 100
 
 
 CLASHES = ["key", "row", "doc", "txt", "fp", "root", "host", "size", "at", "copy", "now", "whole", "rest", "first", "_row", "_k", "_t", "_c", "_h", "_n", "_q", "_m", "_key", "_fp", "_root", "_encoded", "_host", "_txt", "_number", "_clean", "_src", "gone", "block", "bucket", "part", "source_size", "target", "taken"]
