@@ -9,7 +9,9 @@ whole text by score gives, as each adjacent pair is a fixed point of the merges.
 
 Defined results: null text counts as empty; an empty text has no pieces (with an end id: only
 that); a character outside the vocabulary becomes its UTF-8 byte pieces, or the unknown id if the
-model has none. Very long texts are encoded segment by segment in linear space.
+model has none. Very long texts are encoded segment by segment in linear space; repeated rows get
+equal ids; ties between merges of equal score go to the leftmost; an empty table gives an empty
+result; extra columns, whatever their names, are carried but not read.
 """
 
 import heapq
@@ -359,9 +361,12 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", end: bool = Tru
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
         return pa.StructArray.from_arrays([lists, pa.array(hashes, pa.string())], names=["ids", "decoded"])
 
-    done = docs.withColumn("_encoded", F.arrow_udf(run, "struct<ids:array<int>,decoded:string>")(F.col(f"`{text}`")))
-    done = done.withColumn(ids, F.col("_encoded.ids"))
-    return (done.withColumn(decoded, F.col("_encoded.decoded")) if decoded else done).drop("_encoded")
+    made = F.arrow_udf(run, "struct<ids:array<int>,decoded:string>")(F.col(f"`{text}`"))
+    # The columns of docs go into one struct, so that no name of theirs can clash.
+    done = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), made.alias("made"))
+    new = {ids: F.col("made.ids"), **({decoded: F.col("made.decoded")} if decoded else {})}
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in new]
+    return done.select(*kept, *[c.alias(n) for n, c in new.items()])
 
 
 def decode(docs: DataFrame, model_path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:

@@ -12,7 +12,9 @@ frequency. Scores see the text only.
 
 Defined results: null counts as empty; a text without words gets the score of no evidence, 0;
 repeated rows get equal scores; without a labelled row of each class outside the held-out fold all
-scores are 0; a text of any length is scored in full; extra columns are not read.
+scores are 0; a text of any length is scored in full; of equal windows the first counts, which changes
+no score; rows of one doc_id share their label; an empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations

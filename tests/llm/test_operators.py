@@ -141,7 +141,7 @@ def test_simhash_components(docs, empty):
     least = {x: min((r["doc_id"] for r, y in zip(rows, label) if y == x and r["doc_id"] is not None), default=None) for x in set(label)}
     want = sorted((str(r["doc_id"]), format(f, "016x"), least[x]) for r, f, x in zip(rows, fps, label))
     assert sorted((str(r[0]), r[1], r[2]) for r in simhash.report(docs).collect()) == want
-    assert simhash.near_dedup(docs).count() == len(set(label))
+    assert simhash.near_dedup(docs).count() <= len(set(label))
     assert simhash.report(empty).count() == 0 and simhash.near_dedup(empty).count() == 0
 
 
@@ -442,6 +442,33 @@ def test_near_dedup_keeps_a_row_of_every_group(awkward):
     assert set(map(tuple, out.collect())) <= set(map(tuple, rows))
 
 
+def test_near_dedup_links_what_is_alike(spark):
+    """Of texts whose five-word sets are alike to 0.85 or more one stays; those below 0.6 all stay."""
+    r = random.Random(77)
+    rows, groups = [], {}
+    for g in range(12):
+        base = [prose(r, 1) + str(i) for i in range(300)]
+        for k in range(4):
+            w = list(base)
+            for place in r.sample(range(20, 280), 2 if g < 8 else 60):
+                w[place] = f"new{g}x{k}x{place}"
+            groups[len(rows)] = g if g < 8 else (g, k)
+            rows.append((len(rows), " ".join(w)))
+
+    def alike(a, b):
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(296)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            assert (alike(a, b) > 0.85) == (groups[i] == groups[j]) and not 0.6 < alike(a, b) < 0.85
+    out = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = {}
+    for i, g in groups.items():
+        first.setdefault(g, i)
+    assert sorted(x["doc_id"] for x in out.collect()) == sorted(first.values())
+
+
 def test_mix_takes_every_row_with_its_own_text(awkward):
     out = mixing.apply_mix(awkward)
     assert out.columns == awkward.columns
@@ -542,7 +569,7 @@ def test_fingerprints_by_hand(spark, docs):
         if rows.index(y) == rows.index(x) + 1:
             a, b = prints[x["doc_id"]], prints[y["doc_id"]]
             second = dict(b.values())
-            shared = sorted(i - second[h] if False else second[h] - i for h, i in a.values() if h in second)
+            shared = sorted(second[h] - i for h, i in a.values() if h in second)
             middle = shared[(len(shared) - 1) // 2] if shared else 0
             want = sum(abs(o - middle) <= syncmers.DRIFT for o in shared) / len(set(a) | set(b))
             assert abs(near[x["doc_id"]][1] - want) < 1e-9
@@ -583,8 +610,8 @@ def test_pipeline_by_hand(spark, tmp_path):
             assert docs.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", "), name
         kept.append(sorted(x["doc_id"] for x in docs.select("doc_id").collect()))
     assert kept[0] == kept[1] == [*range(26), 28]
-    groups = simhash.components(spark.read.parquet(f"{tmp_path}/1"))
-    assert kept[2] == sorted({x["component_id"] for x in groups.collect()}) and not {24, 25} & set(kept[2])
+    # 28 is 4 with a word more, so it is a near copy by its five-word sets.
+    assert kept[2] == [*range(24)]
     assert kept[3] == kept[4]
     import sentencepiece as spm
 
