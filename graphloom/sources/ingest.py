@@ -142,10 +142,10 @@ def _keyed(key: str):
 
 def read_graphml(spark: SparkSession, path: str) -> PropertyGraph:
     """Nodes with labels and typed data; edges with a label and typed data. Data keys become properties."""
-    keys = [r.asDict() for r in spark.read.format("xml").option("rowTag", "key").schema("_id string, _for string, `_attr.name` string, `_attr.type` string, `_attr.list` string").load(path).collect()]
+    keys = [r.asDict() for r in spark.read.format("xml").option("rowTag", "key").schema("_id string, _for string, `_attr.name` string, `_attr.type` string, `_attr.list` string").load(path).where("_id is not null").distinct().orderBy("_id").collect()]
     data = "data array<struct<_key:string,_VALUE:string>>"
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, _labels string, {data}").load(path)
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_id string, _source string, _target string, _label string, {data}").load(path)
+    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, _labels string, {data}").load(path).where("_id is not null")  # a file without the tag gives an empty row
+    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_id string, _source string, _target string, _label string, {data}").load(path).where("_source is not null")
 
     def props(kind: str) -> list:
         out = []

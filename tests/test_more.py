@@ -83,3 +83,11 @@ def test_typed_ingest(spark, tmp_path):
     assert sorted(r["types"] for r in g.nodes.collect()) == [["A"], ["A", "B"]] and g.node_properties() == []
     sinks.write_pbbs(g, f"{tmp_path}/p", "w")
     assert rows(ingest.read_pbbs(spark, f"{tmp_path}/p").edges, "src", "dst", "w") == [(0, 1, 5.0)]
+
+
+def test_command_line(spark, tmp_path):
+    from graphloom.__main__ import run
+
+    (tmp_path / "e.txt").write_text("# edges\n0 1 4\n1 2 3\n0 2 9\n")
+    out = run(spark, ["sssp", str(tmp_path / "e.txt"), str(tmp_path / "out"), "--format", "weighted-edgelist"])
+    assert rows(out, "id", "dist") == [(0, 0), (1, 4), (2, 7)]
