@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,8 +90,7 @@ def write_svmlight(g: PropertyGraph, path: str, weight: str = "w") -> None:
 
 
 def write_graphml(g: PropertyGraph, path: str) -> None:
-    """GraphML with typed data for scalar properties, labels from the type sets; parts are in order header, nodes, edges, end."""
-    spark = g.nodes.sparkSession
+    """GraphML with typed data for scalar properties, labels from the type sets; each part is a document of its own."""
     names = {"bigint": "long", "int": "int", "double": "double", "float": "float", "boolean": "boolean", "string": "string"}
 
     def scalars(df: DataFrame, props: list[str]) -> list[tuple[str, str]]:
@@ -105,8 +107,15 @@ def write_graphml(g: PropertyGraph, path: str) -> None:
     data = lambda props: [F.coalesce(F.concat(F.lit(f'<data key="{p}">'), safe(F.col(p)), F.lit("</data>")), F.lit("")) for p, _ in props]
     n = g.nodes.select(F.concat(F.lit('<node id="'), F.col("id").cast("string"), F.lit('" labels="'), F.array_join(F.transform("types", lambda t: F.concat(F.lit(":"), safe(t))), ""), F.lit('">'), *data(np_), F.lit("</node>")).alias("value"))
     e = g.edges.select(F.concat(F.lit('<edge id="'), F.col("edge_id").cast("string"), F.lit('" source="'), F.col("src").cast("string"), F.lit('" target="'), F.col("dst").cast("string"), F.lit('" label="'), F.array_join(F.transform("types", safe), ":"), F.lit('">'), *data(ep), F.lit("</edge>")).alias("value"))
-    lines = lambda rows: spark.createDataFrame([("".join(rows),)], "value string").coalesce(1)
-    lines(['<?xml version="1.0" encoding="UTF-8"?>', "<graphml>", *keys, "<graph>"]).unionAll(n).unionAll(e).unionAll(lines(["</graph>", "</graphml>"])).write.text(path)
+    head = "".join(['<?xml version="1.0" encoding="UTF-8"?><graphml>', *keys, "<graph>"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.string())], names=["value"])
+        yield line(head)
+        yield from batches
+        yield line("</graph></graphml>")
+
+    n.unionAll(e).mapInArrow(whole, "value string").write.text(path)
 
 
 def to_edge_frame(g: PropertyGraph) -> DataFrame:
