@@ -7,19 +7,23 @@ then the word within it. The KNOWN most frequent words of the whole corpus stand
 SLOTS words each; all other words are one class more, whose slots are hashed groups, and a word
 takes of its group the share that its own count in the whole corpus has.
 
-The network is joined by a memory of the corpus. For one in MEMORY contexts (a word before and a word
-after, chosen by their hash) it knows how often each word stood between them anywhere; where others
-have the context, too, the probability is a mean of the network's and the memory's, by how often. A
-token's own occurrence is left out of what it is judged by.
+The network is joined by a memory of the corpus. For every context (a word before and a word after) it
+knows how often each word stood between them anywhere; where others have the context, too, the
+probability is a mean of the network's and the memory's, by how often. A token's own occurrence is left
+out of what it is judged by.
 
-What is gathered grows with the corpus: the exact count of every distinct word, and of every word in
-a remembered context, and the tokens of every text, each of which is trained on once. Texts go to
+What is gathered grows with the corpus: the count of every distinct word, of every context and of every
+word in it, and the tokens of every text, each of which is trained on once. Texts go to
 shards of about SHARD positions, and shards to ROUNDS rounds; each shard trains from common weights
 by Adagrad in numpy, and the weights of a round are averaged in groups of FAN. Counts are exchanged
 between buckets of about BUCKET bytes of text and parts of the hash space, packed, each distinct key
 once a bucket; so no task or driver holds more than a shard, a bucket, a part, or one set of weights
 per step. Results are the same for the same rows up to the order of sums, however they are laid out.
 
+Keys are hashes, of which as many bits are kept as make it rarer than 1 in 2**SPARE that any other key
+of the corpus has those of a given one (up to 64 bits, which do for 2**(64 - SPARE) words). Known words
+are told apart by their number within a context, others by some 24 bits of their hash.
+
 Defined results: null counts as empty; a text without words has no tokens, log-likelihood 0 and a
 null mean; a very long text is a bucket of its own with what falls there; repeated rows get equal
 scores; among equally frequent words those with the smaller hash are known; an empty table gives an
@@ -35,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.session import cut
+from graphloom.plans.session import cut, release
 
-from .buffers import hashed_words, mix, pack_sorted, raw, slices, unpack_sorted
+from .buffers import hashed_words, mix, raw, slices
 
 SIDE = 2
 #: Classes of known words; one more holds the rare groups, which makes 64.
@@ -51,11 +55,14 @@ ROUNDS = 2
 FAN = 64
 STEP, BATCH = 0.1, 8192
 PAD = KNOWN + RARE  # stands for the places beyond a text's ends
-MEMORY = 8
 #: A memory of n other occurrences weighs n / (n + DOUBT).
 DOUBT = 2.0
 BUCKET = 8 << 20
-PART = 24 << 20
+PART = 16 << 20
+#: Bits of a key beyond those that count the corpus's words.
+SPARE = 20
+#: Bits that tell the words of a context apart.
+CODE = 24
 MOST_TASKS = 100_000
 #: Words are first cut to those in the upper of this many steps of counts per doubling.
 STEPS = 16
@@ -69,13 +76,19 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.sorted, self.rank, self.mass = hashes[order], order.astype(np.int16), mass
         self.counts = np.concatenate([counts, np.zeros(KNOWN - len(counts)), mass])
+        # Where the hashes with each upper 16 bits begin, and the most that share them; the last hash is repeated for these.
+        upper = (self.sorted >> np.uint64(48)).astype(np.int64)
+        self.start = np.searchsorted(upper, np.arange(1 << 16)).astype(np.int32)
+        self.most = int(np.bincount(upper, minlength=1).max())
+        self.sorted, self.rank = (np.concatenate([x, np.repeat(x[-1:], self.most)]) for x in (self.sorted, self.rank))
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
-        rare = (KNOWN + (h % np.uint64(RARE))).astype(np.int16)
-        if not len(self.sorted):
-            return rare
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.rank[at], rare)
+        out = (KNOWN + (h % np.uint64(RARE))).astype(np.int16)
+        at = self.start[h >> np.uint64(48)]
+        for j in range(self.most):
+            hit = np.flatnonzero(self.sorted[at + j] == h)
+            out[hit] = self.rank[at[hit] + j]
+        return out
 
 
 def places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +153,7 @@ class Network:
         """log P(each token, or its rare group | the tokens around it)."""
         tables = [self.e @ self.w[j] for j in range(2 * SIDE)]
         kinds, slots_ = places(tokens)
+        within = _within(self.o), _within(self.v)
         out = np.empty(len(tokens), np.float32)
         for a in range(0, len(tokens), chunk):
             kind, slot = kinds[a : a + chunk], slots_[a : a + chunk]
@@ -147,14 +161,14 @@ class Network:
             # In the order of the classes, so that a class is a stretch of rows.
             near = around[:, a : a + chunk][:, order]
             h = np.ones((len(order), HIDDEN), np.float32)
-            x = tables[0][near[0]] + self.b
+            x = np.take(tables[0], near[0], axis=0) + self.b
             for j in range(1, 2 * SIDE):
-                x += tables[j][near[j]]
+                x += np.take(tables[j], near[j], axis=0)
             np.tanh(x, out=h[:, :-1])
             z = np.empty((len(h), SLOTS), np.float32)
             for c, i, j in groups:
                 np.matmul(h[i:j], self.v[c], out=z[i:j])
-            out[a + order] = _log_softmax_at(h @ self.o, kind[order]) + _log_softmax_at(z, slot[order])
+            out[a + order] = _log_softmax_at(h @ self.o, kind[order], within[0]) + _log_softmax_at(z, slot[order], within[1])
         return out
 
     def fit(self, tokens: np.ndarray, around: np.ndarray) -> None:
@@ -166,16 +180,16 @@ class Network:
             kind, slot = kinds[a : a + BATCH][order], slots_[a : a + BATCH][order]
             ids = around[:, a : a + BATCH].T[order]
             n = len(kind)
-            x = self.e[ids].reshape(n, -1)
+            x = np.take(self.e, ids, axis=0).reshape(n, -1)
             w = self.w.reshape(-1, HIDDEN - 1)
             h = np.ones((n, HIDDEN), np.float32)
             t = np.tanh(x @ w + self.b, out=h[:, :-1])
-            p = _pull(h @ self.o, kind)
+            p = _pull(h @ self.o, kind, _within(self.o))
             dh = p @ self.o[:-1].T
             z = np.empty((n, SLOTS), np.float32)
             for c, i, j in groups:
                 np.matmul(h[i:j], self.v[c], out=z[i:j])
-            q = _pull(z, slot)
+            q = _pull(z, slot, _within(self.v))
             gv = np.zeros_like(self.v)
             for c, i, j in groups:
                 dh[i:j] += q[i:j] @ self.v[c, :-1].T
@@ -199,22 +213,28 @@ class Network:
 MOST = 60.0
 
 
-def _sums(z: np.ndarray) -> np.ndarray:
+def _within(weights: np.ndarray) -> bool:
+    """Whether no score can reach MOST by these weights, as the hidden units lie from -1 to 1."""
+    return bool(np.abs(weights).sum(axis=-2).max() < MOST)
+
+
+def _sums(z: np.ndarray, within: bool) -> np.ndarray:
     """The exponentials of z, in place, and each row's sum."""
-    np.minimum(z, MOST, out=z)
+    if not within:
+        np.minimum(z, MOST, out=z)
     np.exp(z, out=z)
     return z @ np.ones(z.shape[1], np.float32)
 
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
     hit = np.minimum(z[np.arange(len(at)), at], MOST)
-    return hit - np.log(_sums(z))
+    return hit - np.log(_sums(z, within))
 
 
-def _pull(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _pull(z: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
     """The gradient of the mean over the rows of -log softmax, in place."""
     n = len(at)
-    z *= (np.float32(1 / n) / _sums(z))[:, None]
+    z *= (np.float32(1 / n) / _sums(z, within))[:, None]
     z[np.arange(n), at] -= np.float32(1 / n)
     return z
 
@@ -333,129 +353,186 @@ def train(docs: DataFrame, words: Vocabulary, total: int, text: str = "text") ->
     return net
 
 
-# ---------------------------------------------------------------- exact counts, and scores
+# ---------------------------------------------------------------- counts, and scores
 
 _WORD, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def key_bits(total: int) -> int:
+    """Bits of a key for a corpus of so many words."""
+    return min(64, max(1, total).bit_length() + SPARE)
+
+
 def rare_keys(h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Count keys of the rare words among h."""
     return mix(h[tokens >= KNOWN] ^ _WORD)
 
 
-def memory_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions whose context is remembered, and the count keys of the context and of it with the word."""
+def memory_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that have a context, which are all but the first and the last of a row, and its count keys."""
     inner = np.ones(len(h), bool)
     inner[first[:-1][first[:-1] < len(h)]] = False
     inner[first[1:][np.diff(first) > 0] - 1] = False
     at = np.flatnonzero(inner)
-    context = mix(mix(h[at - 1]) + _PAIR * h[at + 1]) if len(at) else np.zeros(0, np.uint64)
-    chosen = context % np.uint64(MEMORY) == 0
-    at, context = at[chosen], context[chosen]
-    return at, context, mix(context + _WORD * h[at])
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
+    return at, mix(mix(h[at - 1]) + _PAIR * h[at + 1]) if len(at) else np.zeros(0, np.uint64)
+
+
+def codes(h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """What tells words apart within a context: the number of a known one, else from KNOWN on by the hash."""
+    rare = np.uint64(KNOWN) + h % np.uint64((1 << CODE) - KNOWN)
+    return np.where(tokens >= KNOWN, rare, tokens.astype(np.uint64))
+
+
+class Entries:
+    """The distinct pairs of a key and a code of a table's texts, ascending: those of contexts, and of rare words with code 0."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, tokens: np.ndarray, bits: int):
+        self.inner, context = memory_keys(h, first)
+        self.rare = np.flatnonzero(tokens >= KNOWN)
+        keys = np.concatenate([context, rare_keys(h, tokens)]) >> np.uint64(64 - bits)
+        code = np.concatenate([codes(h[self.inner], tokens[self.inner]), np.zeros(len(self.rare), np.uint64)])
+        self.keys, self.codes, self.n, at = _distinct(keys, code)
+        #: The entry of each inner position, and of each rare one.
+        self.of_inner, self.of_rare = at[: len(self.inner)], at[len(self.inner) :]
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """The places of values in ascending order. Sorting the values' upper bits with the places below them is much faster than argsort, which is left only what these bits don't decide."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    mask = np.uint64((1 << len(values).bit_length()) - 1)
+    both = values << np.uint64(64 - max(1, int(values.max()).bit_length()))
+    both &= ~mask
+    both |= np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    both &= mask
+    order = both.view(np.int64)
+    got = values[order]
+    return order[np.argsort(got, kind="stable")] if (got[1:] < got[:-1]).any() else order
+
+
+def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, ascending, how often each stands, and which of them is at each place."""
+    order = _order(values)
+    ascending = values[order]
+    start = _starts(ascending)
+    new = np.zeros(len(values), np.int64)
+    new[start[1:]] = 1
+    at = np.empty(len(values), np.int64)
+    at[order] = np.cumsum(new)
+    return ascending[start], np.diff(start, append=len(values)), at
+
+
+def _distinct(keys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in ascending order, how often each stands, and the pair of each place."""
+    known, _, of_key = _unique(keys)
+    pairs, n, at = _unique(of_key.view(np.uint64) << np.uint64(CODE) | code)
+    return known[(pairs >> np.uint64(CODE)).astype(np.int64)], pairs & np.uint64((1 << CODE) - 1), n, at
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of the same number of whole numbers, in as many byte planes as the largest needs, compressed."""
+    widths, planes = [], []
+    for c in columns:
+        c = c.astype(np.uint64)
+        widths.append((int(c.max()).bit_length() + 7) // 8)
+        planes.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, : widths[-1]].T).tobytes())
+    return np.array([len(columns[0]), *widths], np.int64).tobytes() + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    n, *widths = np.frombuffer(blob, np.int64, 1 + columns).tolist()
+    planes = np.frombuffer(pa.decompress(blob[8 * (1 + columns) :], n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for w in widths:
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :w] = planes[at : at + n * w].reshape(w, n).T
+        out.append(c.view(np.uint64).ravel())
+        at += n * w
+    return out
 
 
-def _pack_counts(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending keys and their counts, both in byte planes, which compress well."""
-    planes = np.ascontiguousarray(n.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
-    return np.array([len(keys)], np.int64).tobytes() + pack_sorted(keys) + planes.tobytes()
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.zeros(1, np.uint64))
 
 
-def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = int(np.frombuffer(blob, np.int64, 1)[0])
-    planes = np.frombuffer(blob, np.uint8, 8 * k, 8 + 8 * k).reshape(8, k)
-    return unpack_sorted(blob[8 : 8 + 8 * k], np.uint64), np.ascontiguousarray(planes.T).view(np.int64).ravel()
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(ascending)), bool), ascending[1:] != ascending[:-1]]))
 
 
-def _bucket_keys(table: pa.Table, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    h, first = hashed_words(table.column("text"))
-    _, context, pair = memory_keys(h, first)
-    return _counted(np.concatenate([rare_keys(h, words.tokens(h)), context, pair]))
+def _pieces(entries: Entries, bits: int, parts: int) -> Iterator[tuple[int, bytes]]:
+    """What goes to each part: its range of the entries, and how often each stands."""
+    part = (((entries.keys << np.uint64(64 - bits)) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    start = _starts(part)
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(part)]):
+        yield int(part[a]), _pack(_steps(entries.keys[a:b]), entries.codes[a:b], entries.n[a:b])
 
 
-def _totals(table: pa.Table) -> list[tuple[int, bytes]]:
-    """Rows (bucket, counts): the keys of a bucket that stand more than once in the corpus, with their counts in all."""
-    buckets = table.column("bucket").to_pylist()
-    parts = [_unpack_counts(b.as_py()) for b in table.column("counts")]
-    keys, n = (np.concatenate(x) for x in zip(*parts))
-    known, at = np.unique(keys, return_inverse=True)
+def _totals(blobs: list[bytes]) -> Iterator[bytes]:
+    """For every piece of a part, in its order: how often each entry's key stands in the corpus, and the entry."""
+    pieces = [_unpack(b, 3) for b in blobs]
+    ends = np.cumsum([0, *(len(p[0]) for p in pieces)]).tolist()
+    keys, code, n = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in pieces]), *(np.concatenate([p[i] for p in pieces]) for i in (1, 2))
+    del pieces
+    known, code, _, at = _distinct(keys, code)
+    del keys
     total = np.zeros(len(known), np.int64)
-    np.add.at(total, at, n)
-    total = total[at]
-    out, start = [], 0
-    for b, (k, _) in zip(buckets, parts):
-        t = total[start : start + len(k)]
-        start += len(k)
-        if (t > 1).any():
-            out.append((b, _pack_counts(k[t > 1], t[t > 1])))
-    return out
-
-
-def _lookup(keys: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(known, keys)
-    at[at == len(known)] = 0
-    return np.where(known[at] == keys, n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
-
-
-def likelihood(column: pa.Array, words: Vocabulary, net: Network, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of tokens and summed conditional log-probability of every text; known, counts: the keys that stand more than once, ascending, with their counts."""
-    data, bounds = raw(column)
-    numbers, sums = [], []
-    for a, b in slices(bounds):
-        h, first = hashed_words(pa.LargeStringArray.from_buffers(b - a, pa.py_buffer((bounds[a : b + 1] - bounds[a]).tobytes()), pa.py_buffer(data[bounds[a] : bounds[b]].tobytes())))
-        tokens = words.tokens(h)
-        value = net.log_probabilities(tokens, _contexts(tokens, first)).astype(np.float64)
-        rare = tokens >= KNOWN
-        mine = np.maximum(_lookup(rare_keys(h, tokens), known, counts), 1)
-        value[rare] += np.log(mine / np.maximum(words.mass[tokens[rare].astype(np.int64) - KNOWN], mine))
-        at, context, pair = memory_keys(h, first)
-        others = _lookup(context, known, counts) - 1
-        some = others > 0
-        at, others, same = at[some], others[some], _lookup(pair[some], known, counts) - 1
-        weight = others / (others + DOUBT)
-        value[at] = np.log((1 - weight) * np.exp(value[at]) + weight * np.maximum(same, 0) / others)
-        total = np.concatenate([np.zeros(1), np.cumsum(value, dtype=np.float64)])
-        numbers.append(np.diff(first))
-        sums.append(total[first[1:]] - total[first[:-1]])
-    none = np.zeros(0)
-    return np.concatenate([none.astype(np.int64), *numbers]), np.concatenate([none, *sums])
+    np.add.at(total, at, n.astype(np.int64))
+    start = _starts(known)
+    of_key = np.repeat(np.add.reduceat(total, start), np.diff([*start.tolist(), len(known)]))
+    for a, b in zip(ends, ends[1:]):
+        yield _pack(of_key[at[a:b]], total[at[a:b]])
+
+
+def likelihood(column: pa.Array, words: Vocabulary, net: Network, bits: int, told: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of tokens and summed conditional log-probability of every text; told: the totals of its entries, by part."""
+    h, first = hashed_words(column)
+    tokens = words.tokens(h)
+    entries = Entries(h, first, tokens, bits)
+    empty = [np.zeros(0, np.uint64)] * 2
+    of_key, of_entry = (np.concatenate(x).astype(np.int64) for x in zip(empty, *(_unpack(b, 2) for b in told)))
+    if len(of_entry) != len(entries.n):
+        raise ValueError(f"{len(of_entry)} totals for {len(entries.n)} entries")
+    value = net.log_probabilities(tokens, _contexts(tokens, first)).astype(np.float64)
+    mine = of_entry[entries.of_rare]
+    value[entries.rare] += np.log(mine / np.maximum(words.mass[tokens[entries.rare].astype(np.int64) - KNOWN], mine))
+    others = of_key[entries.of_inner] - 1
+    some = others > 0
+    at, others, same = entries.inner[some], others[some], of_entry[entries.of_inner[some]] - 1
+    weight = others / (others + DOUBT)
+    value[at] = np.log((1 - weight) * np.exp(value[at]) + weight * same / others)
+    sums = np.concatenate([np.zeros(1), np.cumsum(value, dtype=np.float64)])
+    return np.diff(first), sums[first[1:]] - sums[first[:-1]]
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, log_likelihood (0 without words) and mean_log_likelihood (null without words)."""
     words, total = vocabulary(docs, text)
     net = train(docs, words, total, text)
+    release(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((words, net))
     volume = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`").cast("string"))), F.lit(0))).first()[0]
-    buckets, parts = max(1, -(-volume // BUCKET)), max(1, -(-volume // PART))
+    bits, buckets, parts = key_bits(total), max(1, -(-volume // BUCKET)), max(1, -(-volume // PART))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int")).repartition(min(buckets, MOST_TASKS), "bucket")
 
     def send(key, table):
-        keys, n = _bucket_keys(table, model.value[0])
-        part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
-        ends = [*start[1:].tolist(), len(part)]
-        blobs = [_pack_counts(keys[a:b], n[a:b]) for a, b in zip(start.tolist(), ends)]
-        return pa.table([pa.array([key[0].as_py()] * len(start), pa.int32()), pa.array(part[start].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "part", "counts"])
+        h, first = hashed_words(table.column("text"))
+        out = list(_pieces(Entries(h, first, model.value[0].tokens(h), bits), bits, parts))
+        return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "part", "counts"])
 
     def add_up(key, table):
-        out = _totals(table)
-        return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "counts"])
+        out = list(_totals([b.as_py() for b in table.column("counts")]))
+        return pa.table([table.column("bucket"), table.column("part"), pa.array(out, pa.binary())], names=["bucket", "part", "counts"])
 
     def finish(table, told):
         vocabulary_, network = model.value
-        counts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *(_unpack_counts(b.as_py()) for b in told.column("counts"))]
-        # Parts are ranges of the keys, so ordered by their first keys they are ascending as a whole.
-        known, n = (np.concatenate(x) for x in zip(*sorted(counts, key=lambda c: int(c[0][0]) if len(c[0]) else -1)))
-        number, value = likelihood(table.column("text"), vocabulary_, network, known, n)
+        # Parts are ranges of the keys, so in their order the entries are ascending as a whole.
+        counts = sorted(zip(told.column("part").to_pylist(), told.column("counts").to_pylist()))
+        number, value = likelihood(table.column("text"), vocabulary_, network, bits, [x for _, x in counts])
         return pa.table([table.column("id"), pa.array(number, pa.int64()), pa.array(np.round(value, 4), pa.float64())], names=["id", "n_tokens", "log_likelihood"])
 
     sent = rows.groupBy("bucket").applyInArrow(send, "bucket int, part int, counts binary")
-    told = sent.groupBy("part").applyInArrow(add_up, "bucket int, counts binary")
+    told = sent.groupBy("part").applyInArrow(add_up, "bucket int, part int, counts binary")
     out = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(finish, "id long, n_tokens long, log_likelihood double")
     return out.select(F.col("id").alias(key), "n_tokens", "log_likelihood").withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

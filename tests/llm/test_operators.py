@@ -420,6 +420,54 @@ def test_scores_by_hand(spark, monkeypatch):
     assert remembered > 10 and rare > 100
 
 
+def test_every_context_is_remembered(spark, monkeypatch):
+    """Each inner position is judged by all other occurrences of its context, none of which is left out."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(12)}" for _ in range(r.randint(1, 30))) for _ in range(80)]
+    monkeypatch.setattr(scoring, "BUCKET", 500)
+    monkeypatch.setattr(scoring, "PART", 700)
+    nets, train = [], scoring.train
+    monkeypatch.setattr(scoring, "train", lambda *a: nets.append((a[1], train(*a))) or nets[-1][1])
+    got = by_id(scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)), "log_likelihood")
+    context, triple = {}, {}
+    for w in map(str.split, texts):
+        for x, y, z in zip(w, w[1:], w[2:]):
+            context[x, z] = context.get((x, z), 0) + 1
+            triple[x, y, z] = triple.get((x, y, z), 0) + 1
+    for d, w in enumerate(map(str.split, texts)):
+        tokens = nets[0][0].tokens(scoring.hashed_words(pa.array([texts[d]]))[0])
+        value = nets[0][1].log_probabilities(tokens, scoring._contexts(tokens, np.array([0, len(w)]))).astype(float)
+        for i, (x, y, z) in enumerate(zip(w, w[1:], w[2:]), 1):
+            if n := context[x, z] - 1:
+                a = n / (n + scoring.DOUBT)
+                value[i] = np.log((1 - a) * np.exp(value[i]) + a * (triple[x, y, z] - 1) / n)
+        assert abs(got[d][0] - value.sum()) < 0.01, (d, got[d], value.sum())
+
+
+@pytest.mark.parametrize("bits", [30, 64])
+def test_counts_come_back_to_every_bucket(bits):
+    r = np.random.default_rng(3)
+    keys = r.integers(0, 2**64, 300, np.uint64) >> np.uint64(64 - bits)
+    sent, told, tables = {}, {b: [] for b in range(4)}, []
+    for b in range(4):
+        entries = scoring.Entries(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int16), bits)
+        tables.append((keys[r.integers(0, 300, 500)], r.choice(np.array([0, 7, 5000, (1 << scoring.CODE) - 1], np.uint64), 500)))
+        entries.keys, entries.codes, entries.n, at = scoring._distinct(*tables[b])
+        assert (entries.keys[at] == tables[b][0]).all() and (entries.codes[at] == tables[b][1]).all()
+        for part, blob in scoring._pieces(entries, bits, 5):
+            sent.setdefault(part, []).append((b, blob))
+        tables[b] = (entries, *tables[b])
+    assert sorted(sent) == list(range(5))
+    for part in sorted(sent):
+        for (b, _), blob in zip(sent[part], scoring._totals([x for _, x in sent[part]]), strict=True):
+            told[b].append(scoring._unpack(blob, 2))
+    every, code = (np.concatenate([t[i] for t in tables]) for i in (1, 2))
+    for b in range(4):
+        of_key, of_entry = (np.concatenate(x) for x in zip(*told[b]))
+        for k, c, m, n in zip(tables[b][0].keys, tables[b][0].codes, of_key, of_entry, strict=True):
+            assert m == (every == k).sum() and n == ((every == k) & (code == c)).sum()
+
+
 CLASHES = ["key", "row", "doc", "txt", "fp", "root", "host", "size", "at", "copy", "now", "whole", "rest", "first", "_row", "_k", "_t", "_c", "_h", "_n", "_q", "_m", "_key", "_fp", "_root", "_encoded", "_host", "_txt", "_number", "_clean", "_src", "gone", "block", "bucket", "part", "source_size", "target", "taken"]
 
 
