@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from graphloom import graphs
 from graphloom.graph import PropertyGraph
 from graphloom.operators import triangles
+from graphloom.plans import ordering
 
 
 def rows(df, *cols):
@@ -47,3 +49,27 @@ def test_triangles_by_blocks(spark, monkeypatch):
 def test_no_triangles(spark):
     g = PropertyGraph.of(spark.createDataFrame([(3, 3)], "src long, dst long"))
     assert triangles.triangle_count(g).first()[0] == 0 and rows(triangles.triangles(g), "u", "v", "w") == []
+
+
+def test_copart_by_parts_that_follow_the_rows(spark, monkeypatch, tmp_path):
+    lines = [(o, (o * 7 + k * k) % 50) for o in range(60) for k in range(5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(ordering, "PART_ROWS", 25)
+    sets = {}
+    for o, p in lines:
+        sets.setdefault(o, set()).add(p)
+    want = {}
+    for s in sets.values():
+        for a in s:
+            for b in s:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    kept = []
+    of = graphs._of
+    monkeypatch.setattr(graphs, "_of", lambda e, **more: kept.append(e) or of(e, **more))
+    g = graphs.copart(spark, str(tmp_path))
+    assert rows(g.edges, "edge_id", "src", "dst", "w") == [(i, *k, want[k]) for i, k in enumerate(sorted(want))]
+    # 300 lines and the pairs of the orders by parts of 25 at most, though the session has 4.
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    pairs = sum(len(s) * (len(s) - 1) // 2 for s in sets.values())
+    assert f", {-(-300 // 25)})" in plan and f", {-(-pairs // 25)})" in plan
