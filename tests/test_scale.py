@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom import graphs
 from graphloom.graph import PropertyGraph
-from graphloom.operators import triangles
+from graphloom.operators import apps, triangles
 from graphloom.plans import ordering
 
 
@@ -73,3 +74,30 @@ def test_copart_by_parts_that_follow_the_rows(spark, monkeypatch, tmp_path):
     plan = kept[0]._jdf.queryExecution().executedPlan().toString()
     pairs = sum(len(s) * (len(s) - 1) // 2 for s in sets.values())
     assert f", {-(-300 // 25)})" in plan and f", {-(-pairs // 25)})" in plan
+
+
+def test_gradient_by_batches_is_the_loop_over_ratings(spark, monkeypatch):
+    r = random.Random(4)
+    data = sorted({(r.randrange(12), r.randrange(9)) for _ in range(60)} | {(3, k) for k in range(9)})
+    data = [(u, i, (u % 3 + 1) * (i % 2 + 1) / 6) for u, i in data]
+    df = spark.createDataFrame(data, "user long, item long, rating double").repartition(3)
+    users, items = (dict(rows(x, "id", "f")) for x in apps.gradient_completion(df, rank=3, epochs=0, blocks=1))
+    f, g = ({k: np.array(v) for k, v in x.items()} for x in (users, items))
+    order = [data[k] for k in np.random.default_rng(1).permutation(len(data))]
+    for _ in range(2):
+        for u, i, y in order:
+            a, b = f[u].copy(), g[i].copy()
+            miss = y - a @ b
+            f[u] += 0.05 * (miss * b - 0.02 * a)
+            g[i] += 0.05 * (miss * a - 0.02 * b)
+    for got, want in zip(apps.gradient_completion(df, rank=3, epochs=2, blocks=1), (f, g)):
+        got = dict(rows(got, "id", "f"))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+    # Cells of 10 ratings at most, by more blocks than asked for; each user and item keeps a factor.
+    monkeypatch.setattr(apps, "CELL_RATINGS", 10)
+    users, items = apps.gradient_completion(df, rank=3, epochs=1, blocks=1)
+    assert {x[0] for x in rows(users, "id")} == set(f) and {x[0] for x in rows(items, "id")} == set(g)
+    u, i = np.array([d[0] for d in data]), np.array([d[1] for d in data])
+    at, ends = apps._batches(u, i)
+    parts = np.split(at, ends[:-1])
+    assert len(parts) < len(data) / 2 and all(len(set(u[k])) == len(set(i[k])) == len(k) for k in parts)
