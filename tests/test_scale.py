@@ -101,3 +101,18 @@ def test_gradient_by_batches_is_the_loop_over_ratings(spark, monkeypatch):
     at, ends = apps._batches(u, i)
     parts = np.split(at, ends[:-1])
     assert len(parts) < len(data) / 2 and all(len(set(u[k])) == len(set(i[k])) == len(k) for k in parts)
+
+
+def test_clustering_by_blocks(spark, monkeypatch):
+    e, pairs = random_graph(25, 90, 8)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    g = PropertyGraph.of(spark.createDataFrame(e, "src long, dst long"))
+    monkeypatch.setattr(triangles, "BLOCK_EDGES", 40)
+    got = dict(rows(triangles.local_clustering(g), "id", "coefficient"))
+    assert got.keys() == near.keys()
+    for v, n in near.items():
+        links = sum(len(near[u] & n) for u in n) / 2
+        assert abs(got[v] - (2 * links / (len(n) * (len(n) - 1)) if len(n) > 1 else 0)) < 1e-12
