@@ -116,3 +116,15 @@ def test_clustering_by_blocks(spark, monkeypatch):
     for v, n in near.items():
         links = sum(len(near[u] & n) for u in n) / 2
         assert abs(got[v] - (2 * links / (len(n) * (len(n) - 1)) if len(n) > 1 else 0)) < 1e-12
+
+
+def test_walks_number_the_edges_once_and_take_the_same_draws(spark, monkeypatch):
+    e = spark.createDataFrame([(0, i, ["A"] if i % 3 else ["B"]) for i in range(1, 20)] + [(1, 2, ["C"]), (2, 3, ["C"])], "src long, dst long, types array<string>")
+    g = PropertyGraph.of(e)
+    made = []
+    index = apps._walk_index
+    monkeypatch.setattr(apps, "_walk_index", lambda *a: made.append(index(*a)) or made[-1])
+    a = rows(apps.edge_type_walks(g, 3, rounds=2)[0], "walk", "step", "node")
+    assert len(made) == 1 and made[0][2] is None and len(a) == 20 * 3
+    monkeypatch.setattr(apps, "TRIES", 1)
+    assert a == rows(apps.edge_type_walks(g, 3, rounds=2)[0], "walk", "step", "node")
