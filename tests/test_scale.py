@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom import graphs
 from graphloom.graph import PropertyGraph
-from graphloom.operators import apps, triangles
+from graphloom.operators import apps, peeling, triangles
 from graphloom.plans import ordering
 
 
@@ -118,6 +118,14 @@ def test_clustering_by_blocks(spark, monkeypatch):
         assert abs(got[v] - (2 * links / (len(n) * (len(n) - 1)) if len(n) > 1 else 0)) < 1e-12
 
 
+def test_truss_lists_no_triangles_of_weak_edges(spark, monkeypatch):
+    cliques = [(s + a, s + b) for s in (0, 10) for a in range(6) for b in range(a + 1, 6)]
+    weak = [(5, 10), (4, 10), (5, 11), (20, 21), (21, 22), (20, 22)] + [(30 + k, 31 + k) for k in range(9)]
+    g = PropertyGraph.of(spark.createDataFrame(cliques + weak, "src long, dst long"))
+    monkeypatch.setattr(triangles, "triangles_of", None)  # counted only
+    assert rows(peeling.k_truss(g, 5), "src", "dst") == cliques
+
+
 def test_walks_number_the_edges_once_and_take_the_same_draws(spark, monkeypatch):
     e = spark.createDataFrame([(0, i, ["A"] if i % 3 else ["B"]) for i in range(1, 20)] + [(1, 2, ["C"]), (2, 3, ["C"])], "src long, dst long, types array<string>")
     g = PropertyGraph.of(e)
